@@ -29,6 +29,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.decontaminate import decontaminate
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 SQL: dict[str, str] = {}
 
 SQL["op2_url_filter"] = """

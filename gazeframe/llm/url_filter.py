@@ -83,12 +83,14 @@ def judge_urls(
     path: str = "path",
     verdict: str = "verdict",
     default: str = "allow",
-    buckets: int = 64,
-    salts: int = 16,
+    buckets: int = 16,
+    salts: int | None = None,
 ) -> DataFrame:
     """``pages`` with its columns and ``host, path, rule, verdict`` (of the URL). ``rules``: columns ``host, path, verdict``."""
     h, p = split_url(F.col(url))
     base = without(pages, "host", "path", "rule", "verdict")
+    if salts is None:  # so that even a bucket with a third of all rows keeps its parts small
+        salts = max(64, min(4096, base.select(F.lit(1)).count() // 500_000))
     kept = [F.col(c) for c in base.columns]
     u = base.select(F.struct(*kept).alias("row"), h.alias("h"), p.alias("p")).withColumn("at", host_key(F.col("h")))
     u = u.withColumn("bucket", _bucket(F.col("at"), buckets)).withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int"))
