@@ -36,6 +36,26 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(docs, _table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.common import crc_mod
+    from gazeframe.llm.language_id import identify, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs, crc_mod("doc_id", 3) != 1)
+    got = identify(docs.select("doc_id", "text"), model, out=("lang_pred", "score"))
+    return got.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.common import crc_mod
+    from gazeframe.llm.toxicity import score_toxicity, train
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, _table(spark, sf_dir, "labels").select("doc_id", "toxic"), crc_mod("doc_id", 4) != 2)
+    got = score_toxicity(docs, model, out=("score", "predicted", "evidence"))
+    return got.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
+
+
 SQL: dict[str, str] = {}
 
 SQL["op2_url_filter"] = """
