@@ -16,6 +16,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.common import crc_mod
+    from gazeframe.llm.lm_scoring import learn, score_texts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = score_texts(docs, learn(docs, crc_mod("doc_id", 5) != 1))
+    return got.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gazeframe.llm.url_filter import judge_urls
 
