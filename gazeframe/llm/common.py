@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -125,7 +126,7 @@ def word_hashes(raw: bytes, table: bytes = WORD_BYTES) -> np.ndarray:
                 cut = low.find(b" ", end)
                 cut = len(low) if cut < 0 else cut
                 word = low[at:cut].strip(b" ")
-                out.append(np.array([int.from_bytes(__import__("hashlib").blake2b(word, digest_size=8).digest(), "little")], np.uint64) if word else np.zeros(0, np.uint64))
+                out.append(np.array([int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")], np.uint64) if word else np.zeros(0, np.uint64))
                 at = cut
                 continue
             end = cut
@@ -160,5 +161,5 @@ def shingles(words: np.ndarray, k: int = 5) -> np.ndarray:
     out = words[:n].copy()
     with np.errstate(over="ignore"):
         for i in range(1, k):
-            out = out * np.uint64(0x100000001B3 * 0x9E3779B1 | 1) + words[i : i + n]
+            out = out * np.uint64(0xD1342543DE82EF95) + words[i : i + n]
     return mix(out)

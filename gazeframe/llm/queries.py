@@ -65,6 +65,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", "predicted", "evidence")
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.near_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.fingerprint import fingerprint
+
+    return fingerprint(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 SQL: dict[str, str] = {}
 
 SQL["op2_url_filter"] = """
