@@ -47,8 +47,9 @@ class TermCounter:
         memo, terms = self.memo, self.terms
         if len(memo) > MEMO:
             memo.clear()
-        for w in counts.keys() - memo.keys():
-            memo[w] = tuple(t for x in terms_of_word(w) if (t := terms.get(x)) is not None)
+        for w in counts:
+            if w not in memo:
+                memo[w] = tuple(t for x in terms_of_word(w) if (t := terms.get(x)) is not None)
         out: dict[int, int] = {}
         for w, c in counts.items():
             if got := memo[w]:
