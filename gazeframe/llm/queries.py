@@ -77,6 +77,20 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.chat_format import rotate
+
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    got = rotate(_table(spark, sf_dir, "conversations"))
+    return got.select("conv_id", "participant", "chunk", "n_turns", "n_chars", "n_learnt", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), spans.alias("spans"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gazeframe.llm.html_text import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 SQL: dict[str, str] = {}
 
 SQL["op2_url_filter"] = """
@@ -101,6 +115,21 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, budget - epochs * source_size - pos)))::BIGINT AS taken FROM e
 """
 
+SQL["op5_chat_format"] = r"""
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(text, '')), coalesce(role, 'unknown')) - 1 AS place FROM conversations),
+p AS (SELECT DISTINCT conv_id, speaker AS participant FROM t WHERE speaker <> 'system'),
+v AS (SELECT t.conv_id, p.participant, place // 64 AS chunk, place, speaker = participant AS me,
+        CASE WHEN speaker = 'system' THEN '<|im_start|>system' || chr(10) WHEN speaker = participant THEN '<|im_start|>assistant' || chr(10)
+             ELSE '<|im_start|>user name=' || replace(regexp_replace(speaker, '\s', '_', 'g'), '<|', '< |') || chr(10) END AS head,
+        replace(body, '<|', '< |') || '<|im_end|>' AS content
+      FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+o AS (SELECT *, coalesce(sum(length(head) + length(content) + 1) OVER (PARTITION BY conv_id, participant, chunk ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS b FROM v)
+SELECT conv_id, participant, chunk::BIGINT AS chunk, count(*)::BIGINT AS n_turns, sum(length(head) + length(content) + 1)::BIGINT AS n_chars,
+  coalesce(sum(length(content)) FILTER (WHERE me), 0)::BIGINT AS n_learnt, sha256(string_agg(head || content || chr(10), '' ORDER BY place)) AS text_sha256,
+  coalesce(string_agg((b::BIGINT)::VARCHAR || '-' || (b + length(content))::BIGINT::VARCHAR, ',' ORDER BY place) FILTER (WHERE me), '') AS spans
+FROM o GROUP BY conv_id, participant, chunk
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
