@@ -13,7 +13,7 @@ import numpy as np
 from gazeframe.llm.common import mix
 
 #: Terms that are drawn at once: what is in work stays within a processor's cache.
-PIECE = 2048
+PIECE = 512
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -26,47 +26,77 @@ def _gamma_quantiles(n: int) -> np.ndarray:
 
 
 _R = _gamma_quantiles(4096)
-_INV = (1.0 / _R).astype(np.float32)
-
-
-def variates(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(r, 1 / r, ln c, b) of each term and sample, from 64 hashed bits: 20 and 20 for c, 12 for r, 12 for b."""
-    seeds = (np.arange(1, samples + 1, dtype=np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    x = mix(terms[:, None] + seeds[None, :])
-    low = x.astype(np.uint32)
-    high = (x >> np.uint64(32)).astype(np.uint32)
-    u = ((low >> np.uint32(12)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-20)
-    u *= ((high >> np.uint32(12)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-20)
-    c = np.log(u)
+
+
+def _mix32(x: np.ndarray, spare: np.ndarray) -> None:
+    """A bijective finaliser of 32-bit values, in place."""
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        np.right_shift(x, np.uint32(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        np.multiply(x, np.uint32(factor), out=x)
+    np.right_shift(x, np.uint32(16), out=spare)
+    np.bitwise_xor(x, spare, out=x)
+
+
+def _seeds(samples: int) -> tuple[np.ndarray, np.ndarray]:
+    s = mix(np.arange(1, samples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return s.astype(np.uint32)[:, None], (s >> np.uint64(32)).astype(np.uint32)[:, None]
+
+
+def variates(terms: np.ndarray, samples: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(r, ln c, b) of each sample and term, rows by sample, from 64 hashed bits: 20 and 20 for c, 12 for r, 12 for b."""
+    one, two = _seeds(samples)
+    low = terms.astype(np.uint32)[None, :] ^ one
+    high = (terms >> np.uint64(32)).astype(np.uint32)[None, :] + two
+    spare = np.empty_like(low)
+    _mix32(low, spare)
+    np.bitwise_xor(high, low, out=high)  # so that either half of a hash bears on both
+    _mix32(high, spare)
+    c, u = np.empty(low.shape, np.float32), np.empty(low.shape, np.float32)
+    np.right_shift(low, np.uint32(12), out=spare)
+    np.copyto(c, spare.view(np.int32), casting="unsafe")
+    c += np.float32(0.5)
+    np.right_shift(high, np.uint32(12), out=spare)
+    np.copyto(u, spare.view(np.int32), casting="unsafe")
+    u += np.float32(0.5)
+    c *= u
+    c *= np.float32(2.0**-40)
+    np.log(c, out=c)
     np.negative(c, out=c)
     np.maximum(c, np.float32(1e-9), out=c)
-    k = low & np.uint32(4095)
-    b = (high & np.uint32(4095)).astype(np.float32) * np.float32(1 / 4096)
-    return _R[k], _INV[k], np.log(c), b
+    np.log(c, out=c)
+    np.bitwise_and(high, np.uint32(4095), out=high)
+    np.copyto(u, high.view(np.int32), casting="unsafe")
+    u *= np.float32(1 / 4096)
+    np.bitwise_and(low, np.uint32(4095), out=low)
+    return np.take(_R, low, mode="clip"), c, u
+
+
+def values(r: np.ndarray, c: np.ndarray, b: np.ndarray, log_weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The terms' values and steps t at their weights; overwrites c."""
+    t = log_weights / r
+    t += b
+    np.floor(t, out=t)
+    y = b - t
+    y -= np.float32(1)
+    y *= r
+    c += y
+    return c, t
 
 
 def sample(terms: np.ndarray, log_weights: np.ndarray, samples: int) -> np.ndarray:
     """The 64-bit identity of each sample of one weighted set; terms are distinct hashes. No terms: zeros."""
     best = np.full(samples, np.inf, np.float32)
     out = np.zeros(samples, np.uint64)
-    cols = np.arange(samples)
+    rows = np.arange(samples)
     for i in range(0, len(terms), PIECE):
-        h, lw = terms[i : i + PIECE], log_weights[i : i + PIECE].astype(np.float32)
-        r, inv, value, b = variates(h, samples)
-        t = inv
-        t *= lw[:, None]
-        t += b
-        np.floor(t, out=t)
-        b -= t
-        b -= 1
-        b *= r
-        value += b
-        at = value.argmin(0)
-        v = value[at, cols]
+        h = terms[i : i + PIECE]
+        value, t = values(*variates(h, samples), log_weights[i : i + PIECE].astype(np.float32)[None, :])
+        at = value.argmin(1)
+        v = value[rows, at]
         new = v < best
         best = np.where(new, v, best)
-        got = mix(h[at] + t[at, cols].astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        out = np.where(new, got, out)
+        out = np.where(new, mix(h[at] + t[rows, at].astype(np.int64).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), out)
     return out
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from gazeframe.llm.common import LOWER, mix, small_batches, without, word_hashes
-from gazeframe.llm.cws import variates
+from gazeframe.llm.cws import values, variates
 
 #: Numbers of occurrences up to this have tabled values within a batch.
 OFTEN = 4
@@ -49,9 +49,7 @@ class Sampler:
         self.values = np.zeros((0, OFTEN, self.samples), np.float32)
 
     def _value(self, terms: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        r, inv, c, b = variates(terms, self.samples)
-        t = np.floor(np.log(tf).astype(np.float32)[:, None] * inv + b)
-        return c - r * (t - b) - r
+        return values(*variates(terms, self.samples), np.log(tf).astype(np.float32)[None, :])[0].T
 
     def prepare(self, terms: np.ndarray) -> None:
         """Takes the values of distinct sorted ``terms`` that are not known."""
@@ -62,10 +60,9 @@ class Sampler:
             return
         got = np.empty((len(new), OFTEN, self.samples), np.float32)
         for i in range(0, len(new), 1024):
-            r, inv, c, b = variates(new[i : i + 1024], self.samples)
+            r, c, b = variates(new[i : i + 1024], self.samples)
             for k in range(OFTEN):
-                t = np.floor(np.float32(np.log(k + 1)) * inv + b)
-                got[i : i + 1024, k] = c - r * (t - b) - r
+                got[i : i + 1024, k] = values(r, c.copy(), b, np.float32(np.log(k + 1)))[0].T
         known = np.concatenate([self.known, new])
         order = np.argsort(known)
         self.values = np.concatenate([self.values, got]) if len(self.values) else got
