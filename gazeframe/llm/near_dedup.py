@@ -9,9 +9,9 @@ are the connected components of the pairs at ``threshold`` or more.
 
 Candidates. Equal word sequences are one node from the start. A band's bucket of at most ``small`` nodes gives all its
 pairs; a larger one gives each node with the bucket's most shared node (that whose bands are in the largest buckets: a
-group's centre). Larger buckets that are then still in several classes are split by each of their nodes' other bands and
-treated in the same way, then once more; what is left after that pairs each node with the next ``small`` in the order of
-centrality. A pair whose signatures agree in fewer than ``agree`` places (far below what 0.8 gives) is passed over.
+group's centre). The nodes of larger buckets that are then still in several classes are banded anew, more strictly (six
+samples to a band), and treated in the same way; what is left after that pairs each node with the next ``small`` in the
+order of centrality. A pair whose signatures agree in fewer than ``agree`` places (far below what 0.8 gives) is passed over.
 
 Scale. Signatures are taken in the tasks that read the texts. What is shuffled: sketches, (band, node) rows, and the texts
 of candidates, picked in the scan by a bitmap of fixed size (a false hit costs a row, no result). A pair's texts meet by
@@ -263,19 +263,15 @@ def near_duplicates(
     buckets = materialize(shared.drop("n").join(fame.hint("shuffle_merge"), "node").select("bucket", "node", "n1", "sketch", rank.alias("rank")))
 
     links = labels = None
-    for turn in range(4):
-        if turn:  # larger buckets that hold several classes, split by another band, or at last by rank
+    for turn in range(3):
+        if turn:  # what larger buckets in several classes hold: by stricter bands, at last by rank
             of = buckets.join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-            open_ = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where((F.col("n") > small) & (F.col("l") != F.col("h"))).select("bucket")
-            left = buckets.join(open_.hint("shuffle_merge"), "bucket")
-            if turn < 3:
-                other = buckets.select("node", F.col("bucket").alias("second"))
-                left = left.join(other.hint("shuffle_merge"), "node").where(F.col("second") != F.col("bucket"))
-                left = left.select(F.xxhash64(F.least("bucket", "second"), F.greatest("bucket", "second")).alias("bucket"), "node", "n1", "sketch", "rank").dropDuplicates(["bucket", "node"])
-            buckets = materialize(left)
+            left = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where((F.col("n") > small) & (F.col("l") != F.col("h"))).select("bucket")
+            left = buckets.join(left.hint("shuffle_merge"), "bucket")
+            buckets = materialize(_stricter(left, bands * rows) if turn == 1 else left)
             if not buckets.limit(1).count():
                 break
-        pairs = materialize(candidate_pairs(buckets, small, agree) if turn < 3 else _runs(buckets, small, agree))
+        pairs = materialize(candidate_pairs(buckets, small, agree) if turn < 2 else _runs(buckets, small, agree))
         if not pairs.limit(1).count():
             if links is None:
                 break
@@ -295,6 +291,16 @@ def near_duplicates(
     return out.select(F.col("_id").alias("doc_id"), "class_id", F.col("_id").eqNullSafe(F.col("class_id")).alias("representative"))
 
 
+def _stricter(rows: DataFrame, samples: int, bands: int = 20, size: int = 6) -> DataFrame:
+    """The nodes of ``rows`` in buckets of ``size`` samples each, taken from their sketches: at similarity 0.8 two nodes
+    share one of ``bands`` with a probability of 0.998, at 0.5 with 0.27."""
+    rng = np.random.default_rng(1)
+    picks = [sorted(rng.choice(samples, size, replace=False).tolist()) for _ in range(bands)]
+    keys = F.array(*(F.xxhash64(F.lit(k), *(F.get("sketch", F.lit(int(i))) for i in p)) for k, p in enumerate(picks)))
+    nodes = rows.drop("bucket").dropDuplicates(["node"])
+    return nodes.select("node", "n1", "sketch", "rank", F.explode(keys).alias("bucket"))
+
+
 def _runs(buckets: DataFrame, small: int, agree: int) -> DataFrame:
     """Each node with the next ``small`` of its bucket in the order of centrality."""
     from pyspark.sql import Window
