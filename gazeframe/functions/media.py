@@ -1,0 +1,31 @@
+"""Overlay records of the viewer's data layer: plain values without an engine role."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+
+@dataclass(frozen=True)
+class Media:
+    content: str
+    x: float = 0.0
+    y: float = 0.0
+    time_on: float | None = None
+    time_off: float | None = None
+    z_index: int = 0
+
+
+@dataclass(frozen=True)
+class Image(Media):
+    width: float | None = None
+    height: float | None = None
+
+
+@dataclass(frozen=True)
+class Audio(Media):
+    volume: float = 1.0
+
+
+@dataclass(frozen=True)
+class Text(Media):
+    size: float = 24.0
