@@ -154,15 +154,16 @@ def _agreeing(least: int):
 
 
 def candidate_pairs(buckets: DataFrame, small: int, agree: int) -> DataFrame:
-    """Distinct (a, b, na, nb) from (bucket, node, n1, sketch, rank) rows, rank: the nodes' order of centrality, least first."""
+    """Distinct (a, b, na, nb) of different labels from (bucket, node, n1, sketch, rank, label) rows, rank: the nodes' order of
+    centrality, least first; label: the class so far."""
     sized = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("centre")).where("n > 1")
     rows = buckets.join(sized.hint("shuffle_merge"), "bucket")
-    one = F.struct("node", "n1", "sketch", "rank")
+    one = F.struct("node", "n1", "sketch", "rank", "label")
     few = rows.where(F.col("n") <= small).select("bucket", one.alias("x"))
     pairs = few.join(few.select("bucket", F.col("x").alias("y")).hint("shuffle_merge"), "bucket").where(F.col("x.rank") < F.col("y.rank"))
     many = rows.where(F.col("n") > small)
     stars = many.where(F.col("rank") == F.col("centre")).select("bucket", one.alias("x")).join(many.where(F.col("rank") != F.col("centre")).select("bucket", one.alias("y")).hint("shuffle_merge"), "bucket")
-    both = pairs.select("x", "y").unionByName(stars.select("x", "y")).where(_agreeing(agree))
+    both = pairs.select("x", "y").unionByName(stars.select("x", "y")).where((F.col("x.label") != F.col("y.label")) & _agreeing(agree))
     return both.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.n1").alias("na"), F.col("x.n1").alias("nb")).distinct()
 
 
@@ -260,14 +261,14 @@ def near_duplicates(
     shared = flat.join(sizes.hint("shuffle_merge"), "bucket")
     fame = shared.groupBy("node").agg(F.sum("n").alias("fame")).join(info.drop("bands").hint("shuffle_merge"), "node")
     rank = F.struct((-F.col("fame")).alias("f"), F.xxhash64("node").alias("h"), F.col("node").alias("k"))
-    buckets = materialize(shared.drop("n").join(fame.hint("shuffle_merge"), "node").select("bucket", "node", "n1", "sketch", rank.alias("rank")))
+    buckets = materialize(shared.drop("n").join(fame.hint("shuffle_merge"), "node").select("bucket", "node", "n1", "sketch", rank.alias("rank"), F.col("node").alias("label")))
 
     links = labels = None
     for turn in range(3):
         if turn:  # what larger buckets in several classes hold: by stricter bands, at last by rank
-            of = buckets.join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            of = buckets.drop("label").join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
             left = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where((F.col("n") > small) & (F.col("l") != F.col("h"))).select("bucket")
-            left = buckets.join(left.hint("shuffle_merge"), "bucket")
+            left = of.join(left.hint("shuffle_merge"), "bucket")
             buckets = materialize(_stricter(left, bands * rows) if turn == 1 else left)
             if not buckets.limit(1).count():
                 break
@@ -298,7 +299,7 @@ def _stricter(rows: DataFrame, samples: int, bands: int = 20, size: int = 6) ->
     picks = [sorted(rng.choice(samples, size, replace=False).tolist()) for _ in range(bands)]
     keys = F.array(*(F.xxhash64(F.lit(k), *(F.get("sketch", F.lit(int(i))) for i in p)) for k, p in enumerate(picks)))
     nodes = rows.drop("bucket").dropDuplicates(["node"])
-    return nodes.select("node", "n1", "sketch", "rank", F.explode(keys).alias("bucket"))
+    return nodes.select("node", "n1", "sketch", "rank", "label", F.explode(keys).alias("bucket"))
 
 
 def _runs(buckets: DataFrame, small: int, agree: int) -> DataFrame:
@@ -307,11 +308,11 @@ def _runs(buckets: DataFrame, small: int, agree: int) -> DataFrame:
 
     w = Window.partitionBy("bucket").orderBy("rank")
     at = buckets.withColumn("at", F.row_number().over(w))
-    one = F.struct("node", "n1", "sketch", "at")
+    one = F.struct("node", "n1", "sketch", "at", "label")
     block = F.floor(F.col("at") / small)
     x = at.select("bucket", one.alias("x"), F.explode(F.array(block, block + 1)).alias("block"))
     y = at.select("bucket", one.alias("y"), block.alias("block"))
-    both = x.join(y.hint("shuffle_merge"), ["bucket", "block"]).where((F.col("x.at") < F.col("y.at")) & (F.col("y.at") <= F.col("x.at") + small)).where(_agreeing(agree))
+    both = x.join(y.hint("shuffle_merge"), ["bucket", "block"]).where((F.col("x.at") < F.col("y.at")) & (F.col("y.at") <= F.col("x.at") + small) & (F.col("x.label") != F.col("y.label"))).where(_agreeing(agree))
     return both.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.n1").alias("na"), F.col("x.n1").alias("nb")).distinct()
 
 
