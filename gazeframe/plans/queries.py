@@ -17,6 +17,7 @@ from gazeframe.operators import annotate as A
 from gazeframe.operators import detect as D
 from gazeframe.operators import grid as G
 from gazeframe.operators import metrics as M
+from gazeframe.operators import plotdata as P
 from gazeframe.operators import runs as R
 from gazeframe.operators import sequence as Q
 from gazeframe.operators import signal as X
@@ -741,3 +742,134 @@ def u01(spark, d):
 @query("r04_row_slice", f"WITH {SAMPLES_SQL} SELECT recording_id, sample_idx, gx FROM s WHERE sample_idx BETWEEN 500 AND 900")
 def r04(spark, d):
     return frame(spark, d).select(F.col("sample_idx").between(500, 900)).df.select("recording_id", "sample_idx", F.col("gxL").alias("gx"))
+
+
+# ------------------------------------------------------------------------------------------------- raw events of a kind
+
+
+def _binary_events(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Saccades and blinks without ends, as binary recordings have them, and samples that miss gaze now and then."""
+    s = events_samples(spark, d)
+    t = F.floor(F.col("time") / 3_600_000)
+    base = s.select("recording_id", F.col("sample_idx").alias("event_seq"), t.alias("sttime"), F.when(F.col("message") == "purchase", t + F.col("sample_idx") % 90).otherwise(t).alias("entime"), F.when(F.col("message") == "purchase", 6).otherwise(4).cast("short").alias("type"), (F.col("sample_idx") % 2).cast("short").alias("eye"))
+    events = base.join(s.select(F.col("sample_idx").alias("event_seq"), F.col("message").alias("m")), "event_seq").where(F.col("m").isin("purchase", "signup")).drop("m")
+    return events, s.select("recording_id", "sample_idx", t.alias("time"), "gxL")
+
+
+_BLINKS = """
+z AS (SELECT *, floor(time / 3600000)::BIGINT AS h FROM s), sa AS (SELECT recording_id AS r, h AS st, h + sample_idx % 90 AS en FROM z WHERE message = 'purchase'),
+bl AS (SELECT recording_id, sample_idx AS seq, h AS st, sample_idx % 2 AS eye FROM z WHERE message = 'signup'),
+b1 AS (SELECT recording_id, seq, bl.st, eye, greatest(bl.st, coalesce(max(en), bl.st)) AS lim FROM bl LEFT JOIN sa ON r = recording_id AND sa.st <= bl.st GROUP BY recording_id, seq, bl.st, eye),
+b2 AS (SELECT b1.recording_id, seq, st, eye, greatest(st, coalesce(max(h), st)) AS en FROM b1 LEFT JOIN z ON z.recording_id = b1.recording_id AND z.gx IS NULL AND h <= lim GROUP BY b1.recording_id, seq, st, eye),
+b3 AS (SELECT recording_id, eye, en, min(st) AS st FROM b2 GROUP BY ALL),
+b4 AS (SELECT *, CASE WHEN st <= max(en) OVER (PARTITION BY recording_id, eye ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS n FROM b3),
+b5 AS (SELECT *, sum(n) OVER (PARTITION BY recording_id, eye ORDER BY st, en ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM b4)"""
+
+
+@query("j05_blink_recovery", f"WITH {SAMPLES_SQL}, {_BLINKS} SELECT recording_id, min(st)::BIGINT AS sttime, max(en)::BIGINT AS entime, eye::SMALLINT AS eye, (max(en) - min(st) + 1)::BIGINT AS duration FROM b5 GROUP BY recording_id, eye, g")
+def j05(spark, d):
+    events, samples = _binary_events(spark, d)
+    return A.parse_blinks(events, samples).select("recording_id", "sttime", "entime", "eye", "duration")
+
+
+@query("p14_parse_saccades", f"WITH {SAMPLES_SQL}, z AS (SELECT *, floor(time / 3600000)::BIGINT AS h FROM s) SELECT recording_id, sample_idx AS event_seq, h AS sttime, (h + sample_idx % 90)::BIGINT AS entime, (sample_idx % 90 + 1)::BIGINT AS duration FROM z WHERE message = 'purchase'")
+def p14(spark, d):
+    return A.parse_saccades(_binary_events(spark, d)[0]).select("recording_id", "event_seq", "sttime", "entime", "duration")
+
+
+# ------------------------------------------------------------------------------------------------- text of recordings
+
+
+def _asc_lines(spark, d) -> DataFrame:
+    """``events`` as lines of a vendor's text: samples of one or two eyes, messages, fixations and saccades."""
+    e = events_samples(spark, d)
+    i, t = F.col("sample_idx"), F.col("sample_idx").cast("string")
+    n = lambda c: F.coalesce(F.format_string("%.1f", rj(F.col(c), 1)), F.lit("."))
+    line = (
+        F.when(i % 11 == 0, F.concat(F.lit("MSG\t"), t, F.lit(" TRIALID "), t))
+        .when(i % 11 == 7, F.concat(F.lit("MSG\t"), t, F.lit(" TRIAL_RESULT 0")))
+        .when(i % 11 == 3, F.concat(F.lit("EFIX R   "), t, F.lit("\t"), (i + 4).cast("string"), F.lit("\t5\t  "), n("gxL"), F.lit("\t 20.5\t 900")))
+        .when(i % 2 == 0, F.concat_ws("\t", t, n("gxL"), n("gyL"), n("paL"), n("paL"), n("gxL"), n("gyL"), F.lit("...")))
+        .otherwise(F.concat_ws("\t", t, n("gxL"), n("gyL"), n("paL"), F.lit("...")))
+    )
+    # Exploding one element keeps the optimizer from writing the made-up line out in each use.
+    return e.select("recording_id", i.alias("n"), F.explode(F.array(line)).alias("line"))
+
+
+_ASC = f"""{SAMPLES_SQL}, mk AS (SELECT *, CASE WHEN sample_idx % 11 = 0 THEN 1 WHEN sample_idx % 11 = 7 THEN 0 END AS m FROM s),
+ln AS (SELECT *, CASE WHEN last_value(m IGNORE NULLS) OVER w = 1 THEN sum((m IS NOT NULL AND m = 1)::INT) OVER w END AS tr FROM mk WINDOW w AS (PARTITION BY recording_id ORDER BY sample_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+_R1 = "round_even({0} * 10.0::DOUBLE, 0) / 10.0::DOUBLE"
+
+
+@query(
+    "s06_ascii_samples",
+    f"""WITH {_ASC} SELECT recording_id, sample_idx, sample_idx AS time, tr::BIGINT AS trial, CASE WHEN sample_idx % 2 = 0 AND pa IS NOT NULL THEN {_R1.format("gx")} END AS "gxL", CASE WHEN sample_idx % 2 = 0 AND pa IS NOT NULL THEN {_R1.format("gy")} END AS "gyL",
+ CASE WHEN sample_idx % 2 = 0 AND pa IS NOT NULL THEN {_R1.format("pa")} END AS "paL", CASE WHEN sample_idx % 2 = 0 AND pa IS NOT NULL THEN {_R1.format("pa")} ELSE {_R1.format("gx")} END AS "gxR", CASE WHEN sample_idx % 2 = 0 AND pa IS NOT NULL THEN {_R1.format("gx")} ELSE {_R1.format("gy")} END AS "gyR",
+ CASE WHEN sample_idx % 2 = 0 AND pa IS NOT NULL THEN {_R1.format("gy")} ELSE {_R1.format("pa")} END AS "paR" FROM ln WHERE sample_idx % 11 NOT IN (0, 3, 7)""",
+)
+def s06(spark, d):
+    from gazeframe.sources.eyelink_text import classify, samples_of
+
+    return samples_of(classify(_asc_lines(spark, d)))
+
+
+@query("s06_ascii_events", f"WITH {_ASC} SELECT recording_id, sample_idx AS event_seq, CASE WHEN sample_idx % 11 = 3 THEN 8 ELSE 24 END::SMALLINT AS type, sample_idx AS sttime, CASE WHEN sample_idx % 11 = 3 THEN sample_idx + 4 ELSE sample_idx END AS entime, CASE sample_idx % 11 WHEN 0 THEN 'TRIALID ' || sample_idx::VARCHAR WHEN 7 THEN 'TRIAL_RESULT 0' ELSE '' END AS message, CASE WHEN sample_idx % 11 = 3 THEN {_R1.format('gx')} END AS gavx FROM ln WHERE sample_idx % 11 IN (0, 3, 7)")
+def s06e(spark, d):
+    from gazeframe.sources.eyelink_text import classify, events_of
+
+    return events_of(classify(_asc_lines(spark, d))).select("recording_id", "event_seq", "type", "sttime", "entime", "message", "gavx")
+
+
+@query("k02_sample_lines", f"""WITH {SAMPLES_SQL} SELECT recording_id, sample_idx AS ts, sample_idx::VARCHAR || chr(9) || {" || chr(9) || ".join(f"CASE WHEN {c} IS NULL THEN '      .' ELSE lpad(printf('%.1f', {_rj(c, 1)}), greatest(7, length(printf('%.1f', {_rj(c, 1)})))::INT, ' ') END" for c in ("gx", "gy", "pa"))} || chr(9) || '...' AS line FROM s""")
+def k02(spark, d):
+    from gazeframe.sources.eyelink_text import ascii_lines, classify, events_of, recordings_of
+
+    s = events_samples(spark, d)
+    raw = classify(_asc_lines(spark, d))
+    whole = A.RawRecording(s.select("recording_id", "sample_idx", F.col("sample_idx").alias("time"), "trial", "gxL", "gyL", "paL"), events_of(raw), recordings_of(raw))
+    return ascii_lines(whole, include_events=False, include_messages=False).select("recording_id", "ts", "line")
+
+
+@query("k02_message_lines", f"WITH {_ASC} SELECT recording_id, sample_idx AS ts, 0.0::DOUBLE AS priority, 'MSG' || chr(9) || sample_idx::VARCHAR || CASE WHEN sample_idx % 11 = 0 THEN ' TRIALID ' || sample_idx::VARCHAR ELSE ' TRIAL_RESULT 0' END AS line FROM ln WHERE sample_idx % 11 IN (0, 7) AND sample_idx BETWEEN 1 AND 3600000")
+def k02m(spark, d):
+    from gazeframe.sources.eyelink_text import ascii_lines, classify, events_of, recordings_of, samples_of
+
+    raw = classify(_asc_lines(spark, d))
+    return ascii_lines(A.RawRecording(samples_of(raw), events_of(raw), recordings_of(raw)), include_events=False, include_samples=False).select("recording_id", "ts", "priority", "line")
+
+
+@query("k03_smi_lines", f"""WITH {SAMPLES_SQL} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY sample_idx) AS n, sample_idx::BIGINT * 1000 || chr(9) || 'SMP' || chr(9) || trial || repeat(chr(9) || '0.00', 6) || chr(9) || printf('%.2f', coalesce(gx, 0.0)) || chr(9) || printf('%.2f', coalesce(gy, 0.0)) || chr(9) || '0' || chr(9) || '0' || chr(9) || message || chr(9) || '0' || chr(9) AS line FROM s""")
+def k03(spark, d):
+    from gazeframe.sources.smi import smi_text_lines
+
+    gf = frame(spark, d)
+    gf = gf.with_df(gf.df.drop("paL").withColumn("time", F.col("sample_idx").cast("double")))
+    return smi_text_lines(gf, "x").where("n > 0")
+
+
+# ------------------------------------------------------------------------------------------------------------ chart data
+
+
+@query("plot_scanpath", f"WITH {SAMPLES_SQL}, v AS (SELECT * FROM s WHERE gx IS NOT NULL AND gy IS NOT NULL) SELECT {_K}, sample_idx, gx AS x, gy AS y, CASE WHEN sample_idx = min(sample_idx) OVER g THEN 'first' WHEN sample_idx = max(sample_idx) OVER g THEN 'last' END AS mark FROM v WINDOW g AS (PARTITION BY {_K})")
+def plot_scanpath(spark, d):
+    return P.scanpath(frame(spark, d), "left")
+
+
+@query("plot_gaze", f"WITH {SAMPLES_SQL} SELECT {_K}, sample_idx, {_r6(f'time - first_value(time) OVER {_W}')} AS t, gx AS x, gy AS y FROM s")
+def plot_gaze(spark, d):
+    return rounded(P.gaze_trace(frame(spark, d), "left"), "t")
+
+
+@query("plot_fixations", f"WITH {_STAMPED}, {runs_sql('z', 't', 'in_fix', _K)}, g AS (SELECT {_K}, arg_min(fix_gavx, sample_idx) AS x, arg_min(fix_gavy, sample_idx) AS y, arg_min(fix_dur, sample_idx)::DOUBLE AS dur, min(sample_idx) AS start_idx FROM z WHERE in_fix GROUP BY {_K}, _run) SELECT {_K}, start_idx, {_r6(f'coalesce(dur / max(dur) OVER (PARTITION BY {_K}), 0.0::DOUBLE) * 40.0 + 5.0')} AS size FROM g WHERE x IS NOT NULL AND y IS NOT NULL")
+def plot_fixations(spark, d):
+    return rounded(P.fixation_bubbles(stamped(spark, d)), "size").select("recording_id", "trial", "start_idx", "size")
+
+
+@query("plot_velocity", f"WITH {_LONG}, {runs_sql('r', 't', 'in_sacc', _K)}, p AS (SELECT *, time - first_value(time) OVER {_W} AS _t FROM r) SELECT {_K}, {_r6('arg_min(_t, sample_idx)')} AS t, {_r6('arg_min(sacc_pvel, sample_idx)')} AS pvel FROM p WHERE in_sacc GROUP BY {_K}, _run HAVING arg_min(sacc_pvel, sample_idx) IS NOT NULL")
+def plot_velocity(spark, d):
+    return rounded(P.saccade_velocities(_long_saccades(spark, d)), "t", "pvel")
+
+
+@query("plot_sequence", "WITH " + SAMPLES_SQL + f", k AS (SELECT DISTINCT {_K} FROM s ORDER BY {_K} LIMIT 20), q AS (SELECT s.* FROM s JOIN k USING ({_K})), " + ", ".join(runs_sql(n, "q", f, _K) for n, f in (("r1", "in_fix"), ("r2", "in_sacc"), ("r3", "in_blink"))) + " " + " UNION ALL ".join(f"SELECT {_K}, {_r6('arg_min(time, sample_idx)')} AS t_start, {_r6('arg_max(time, sample_idx)')} AS t_stop, '{k}' AS kind FROM {n} WHERE {f} GROUP BY {_K}, _run" for n, f, k in (("r1", "in_fix", "fixation"), ("r2", "in_sacc", "saccade"), ("r3", "in_blink", "blink"))))
+def plot_sequence(spark, d):
+    return rounded(P.sequence_bars(frame(spark, d)), "t_start", "t_stop")

@@ -31,7 +31,8 @@ def eye_code(t: Column) -> Column:
 def classify(text: DataFrame, start_marker: str = S.TRIAL_START_MARKER, end_marker: str = S.TRIAL_END_MARKER) -> DataFrame:
     """Adds a line's kind, tokens, message and trial. A trial is counted at each message that begins with the start
     marker; lines outside a start and an end have none."""
-    d = text.withColumn("p", F.split(F.trim("line"), r"[ \t]+"))
+    # Exploding one element makes the tokens a column that is split once, not an expression repeated in each use.
+    d = text.select("*", F.explode(F.array(F.split(F.trim("line"), r"[ \t]+"))).alias("p"))
     head = token(F.col("p"), 0)
     kind = (
         F.when(F.startswith("line", F.lit("**")), "preamble")
@@ -104,8 +105,9 @@ def read_eyelink_text(spark: SparkSession, paths: str | Sequence[str], load_samp
 
 
 def fixed1(c: Column, width: int = 7) -> Column:
-    """One decimal, right-aligned; a dot for a missing value."""
-    return F.coalesce(F.lpad(F.format_string("%.1f", c.cast("double")), width, " "), F.lpad(F.lit("."), width, " "))
+    """One decimal, half to even, right-aligned; a dot for a missing value."""
+    t = F.format_string("%.1f", F.rint(c.cast("double") * 10.0) / 10.0)
+    return F.when(c.isNull(), F.lpad(F.lit("."), width, " ")).otherwise(F.lpad(t, F.greatest(F.lit(width), F.length(t)), " "))
 
 
 def eye_letter(c: Column) -> Column:
