@@ -9,8 +9,8 @@ a target above ``most`` times its source stops there and the excess is shared ou
 
 Scale. The key is the MD5 of the document's id: its first hex digits split a source into buckets, so that a source with a
 third of all rows is spread over ``16 ** digits`` tasks. A bucket's sum is added up before any row moves; the buckets'
-running sums (a bounded number for each source) become offsets, and each bucket then has its own running sum. Texts never
-move: only (id, source, size).
+running sums (a bounded number for each source) become offsets, and each bucket then has its own running sum. Words are
+counted in the scan; a text moves with its row only if the caller's columns hold it.
 
 Defined cases: a null or blank text has size 0 and takes 0. A null source is a source of its own. Equal ids are ordered
 by size, so a rerun gives the same rows. With no words at all every target is 0. Input columns named like an output
