@@ -10,8 +10,8 @@ are the connected components of the pairs at ``threshold`` or more.
 Candidates. Equal word sequences are one node from the start. A band's bucket of at most ``small`` nodes gives all its
 pairs; a larger one gives each node with the bucket's most shared node (that whose bands are in the largest buckets: a
 group's centre). The nodes of larger buckets that are then still in several classes are banded anew, more strictly (six
-samples to a band), and treated in the same way; what is left after that pairs each node with the next ``small`` in the
-order of centrality. A pair whose signatures agree in fewer than ``agree`` places (far below what 0.8 gives) is passed over.
+samples to a band), and treated in the same way; in buckets that are large even so, each node is also paired with the next
+``small`` in the order of centrality. A pair whose signatures agree in fewer than ``agree`` places (far below what 0.8 gives) is passed over.
 
 Scale. Signatures are taken in the tasks that read the texts. What is shuffled: sketches, (band, node) rows, and the texts
 of candidates, picked in the scan by a bitmap of fixed size (a false hit costs a row, no result). A pair's texts meet by
@@ -228,10 +228,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
     while True:
-        near = edges.join(labels.hint("shuffle_merge"), edges.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("m"))
-        low = labels.join(near.hint("shuffle_merge"), "node").select("node", F.least("label", "m").alias("low"), "label")
+        sent = edges.join(labels.hint("shuffle_merge"), edges.a == labels.node).select(F.col("b").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
+        own = labels.select("node", "label", F.col("label").alias("old"))
+        low = sent.unionByName(own).groupBy("node").agg(F.min("label").alias("low"), F.max("old").alias("old"))
         hop = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        new = materialize(low.join(hop.hint("shuffle_merge"), "low").select("node", F.least("low", "next").alias("label"), (F.least("low", "next") != F.col("label")).alias("moved")))
+        new = materialize(low.join(hop.hint("shuffle_merge"), "low").select("node", F.least("low", "next").alias("label"), (F.least("low", "next") != F.col("old")).alias("moved")))
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
             return labels
@@ -258,28 +259,26 @@ def near_duplicates(
     info = sig.where(F.size("bands") > 0).drop("_id").dropDuplicates(["node"])
     flat = info.select("node", F.explode("bands").alias("bucket"))
     sizes = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = flat.join(sizes.hint("shuffle_merge"), "bucket")
+    shared = materialize(flat.join(sizes.hint("shuffle_merge"), "bucket"))
     fame = shared.groupBy("node").agg(F.sum("n").alias("fame")).join(info.drop("bands").hint("shuffle_merge"), "node")
     rank = F.struct((-F.col("fame")).alias("f"), F.xxhash64("node").alias("h"), F.col("node").alias("k"))
     buckets = materialize(shared.drop("n").join(fame.hint("shuffle_merge"), "node").select("bucket", "node", "n1", "sketch", rank.alias("rank"), F.col("node").alias("label")))
 
-    links = labels = None
-    for turn in range(3):
-        if turn:  # what larger buckets in several classes hold: by stricter bands, at last by rank
-            of = buckets.drop("label").join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-            left = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where((F.col("n") > small) & (F.col("l") != F.col("h"))).select("bucket")
-            left = of.join(left.hint("shuffle_merge"), "bucket")
-            buckets = materialize(_stricter(left, bands * rows) if turn == 1 else left)
-            if not buckets.limit(1).count():
-                break
-        pairs = materialize(candidate_pairs(buckets, small, agree) if turn < 2 else _runs(buckets, small, agree))
-        if not pairs.limit(1).count():
-            if links is None:
-                break
-            continue
-        found = verify(docs, pairs, sent, text, threshold)
-        links = materialize(found if links is None else links.unionByName(found))
+    labels = None
+    pairs = materialize(candidate_pairs(buckets, small, agree))
+    links = materialize(verify(docs, pairs, sent, text, threshold))
+    if links.limit(1).count():
         labels = components(links)
+    # Larger buckets that still hold several classes: by stricter bands, and by rank within those that stay large.
+    of = buckets.drop("label").join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else buckets
+    mixed = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where((F.col("n") > small) & (F.col("l") != F.col("h"))).select("bucket")
+    strict = materialize(_stricter(of.join(mixed.hint("shuffle_merge"), "bucket"), bands * rows))
+    if strict.limit(1).count():
+        again = candidate_pairs(strict, small, agree).unionByName(_runs(strict, small, agree)).distinct()
+        pairs = materialize(again.join(pairs.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"))
+        found = materialize(verify(docs, pairs, sent, text, threshold))
+        if found.limit(1).count():
+            labels = components(links.unionByName(found))
 
     nodes = sig.groupBy("node").agg(F.min("_id").alias("least"))
     if labels is None:
@@ -303,11 +302,11 @@ def _stricter(rows: DataFrame, samples: int, bands: int = 20, size: int = 6) ->
 
 
 def _runs(buckets: DataFrame, small: int, agree: int) -> DataFrame:
-    """Each node with the next ``small`` of its bucket in the order of centrality."""
+    """Each node with the next ``small`` of its bucket in the order of centrality, in buckets of more than that."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("bucket").orderBy("rank")
-    at = buckets.withColumn("at", F.row_number().over(w))
+    w = Window.partitionBy("bucket")
+    at = buckets.withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") > small).withColumn("at", F.row_number().over(w.orderBy("rank")))
     one = F.struct("node", "n1", "sketch", "at", "label")
     block = F.floor(F.col("at") / small)
     x = at.select("bucket", one.alias("x"), F.explode(F.array(block, block + 1)).alias("block"))
