@@ -58,30 +58,47 @@ class TermCounter:
         return out
 
 
-def select_terms(texts: list[bytes], labels: np.ndarray, most: int, least_chi: float) -> list[bytes]:
-    """Terms whose presence goes with either label: chi-square of at least ``least_chi``, the ``most`` strongest."""
-    ids: dict[bytes, int] = {}
-    of_word: dict[bytes, np.ndarray] = {}
-    present = []
-    for raw in texts:
-        words = set(raw.translate(WORD_BYTES).split())
-        for w in words - of_word.keys():
-            of_word[w] = np.array([ids.setdefault(t, len(ids)) for t in terms_of_word(w)])
-        present.append(np.unique(np.concatenate([of_word[w] for w in words])) if words else np.zeros(0, np.int64))
-    if not ids:
-        return []
-    df = np.zeros((2, len(ids)))
-    for y in (0, 1):
-        own = [p for p, label in zip(present, labels, strict=True) if label == y]
-        if own:
-            df[y] = np.bincount(np.concatenate(own).astype(np.int64), minlength=len(ids))
+def _term_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the distinct terms of a text; they hold within this process."""
+    return np.unique(np.fromiter((hash(t) for w in set(raw.translate(WORD_BYTES).split()) for t in terms_of_word(w)), np.int64))
+
+
+def select_terms(texts: list[bytes], labels: np.ndarray, most: int, least_chi: float, parts: int = 16) -> list[bytes]:
+    """Terms whose presence goes with either label: chi-square of at least ``least_chi``, the ``most`` strongest.
+
+    Terms are counted as hashes, a part of them at a time, so that memory stays small; only strong ones get names.
+    """
     n = np.bincount(labels, minlength=2)
-    a, b, c, d = df[1], df[0], n[1] - df[1], n[0] - df[0]
-    chi = len(texts) * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-    rate, base = (a + 0.5) / (a + b + 1), (n[1] + 0.5) / (len(texts) + 1)
-    strong = (chi >= least_chi) & (a + b >= 3) & ((rate >= base + 0.5 * (1 - base)) | (rate <= base / 4))
-    names = list(ids)
-    order = sorted(np.flatnonzero(strong).tolist(), key=lambda k: (-chi[k], names[k]))[:most]
+    present = [_term_hashes(raw) for raw in texts]
+    base = (n[1] + 0.5) / (len(texts) + 1)
+    found: dict[int, float] = {}
+    for part in range(parts):
+        own = [p[(p & (parts - 1)) == part] for p in present]
+        if not any(len(x) for x in own):
+            continue
+        keys, count = np.unique(np.concatenate(own), return_counts=True)
+        keys, count = keys[count >= 3], count[count >= 3]
+        ones = np.concatenate([np.zeros(0, np.int64), *(x for x, y in zip(own, labels.tolist(), strict=True) if y == 1)])
+        a = np.zeros(len(keys))
+        at = np.searchsorted(keys, ones)
+        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == ones)] if len(keys) else at[:0]
+        np.add.at(a, at, 1)
+        b = count - a
+        c, d = n[1] - a, n[0] - b
+        chi = len(texts) * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
+        rate = (a + 0.5) / (a + b + 1)
+        strong = (chi >= least_chi) & ((rate >= base + 0.5 * (1 - base)) | (rate <= base / 4))
+        found |= dict(zip(keys[strong].tolist(), chi[strong].tolist(), strict=True))
+    names: dict[int, bytes] = {}
+    for raw, p in zip(texts, present, strict=True):
+        if len(names) == len(found):
+            break
+        if any(k in found and k not in names for k in p.tolist()):
+            for w in set(raw.translate(WORD_BYTES).split()):
+                for t in terms_of_word(w):
+                    if (k := hash(t)) in found:
+                        names[k] = t
+    order = sorted(names, key=lambda k: (-found[k], names[k]))[:most]
     return [names[k] for k in order]
 
 
