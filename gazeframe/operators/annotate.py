@@ -62,40 +62,40 @@ def parse_blinks(events: DataFrame, samples: DataFrame | None = None) -> DataFra
     The latest such end is a running maximum over saccades and blinks in time order, the last missing sample a running
     maximum over samples: no range join.
     """
-    own = events.where(F.col("type") == S.END_BLINK).select("recording_id", "event_seq", "sttime", "entime", "eye")
-    binary = own.groupBy("recording_id").agg(F.bool_and(F.col("sttime") == F.col("entime")).alias("binary"))
-    b = own.join(binary, "recording_id")
+    rid = Window.partitionBy("recording_id")
+    own = events.where(F.col("type") == S.END_BLINK).select("recording_id", F.struct("event_seq", "sttime", "entime", "eye", F.bool_and(F.col("sttime") == F.col("entime")).over(rid).alias("binary")).alias("b"))
+    none = F.lit(None).cast(own.schema["b"].dataType)
     # Saccades before blinks at one time, as a saccade that begins with the blink encloses it.
-    s = events.where(F.col("type") == S.END_SACC).select("recording_id", F.col("sttime").alias("at"), F.lit(0).alias("side"), F.col("entime").alias("en"), F.lit(None).cast("long").alias("seq"))
-    q = b.select("recording_id", F.col("sttime").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("en"), F.col("event_seq").alias("seq"))
-    w = Window.partitionBy("recording_id").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = s.unionByName(q).withColumn("limit", F.max("en").over(w)).where("side = 1").select("recording_id", F.col("seq").alias("event_seq"), "limit")
-    b = b.join(ends, ["recording_id", "event_seq"]).withColumn("limit", F.greatest(F.col("sttime"), F.coalesce("limit", F.col("sttime"))))
+    w = rid.orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    s = events.where(F.col("type") == S.END_SACC).select("recording_id", F.col("sttime").alias("at"), F.lit(0).alias("side"), F.col("entime").alias("en"), none.alias("b"))
+    q = own.select("recording_id", F.col("b.sttime").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("en"), "b")
+    blinks = s.unionByName(q).withColumn("limit", F.max("en").over(w)).where("side = 1")
+    limit = F.greatest(F.col("b.sttime"), F.coalesce("limit", F.col("b.sttime")))
+    blinks = blinks.select("recording_id", limit.alias("limit"), "b")
+    found = F.col("limit")
     if samples is not None:
         gaze = [c for c in ("gxL", "gxR") if c in samples.columns]
-        some = samples.groupBy("recording_id").agg(*(F.count(c).alias(f"n_{c}") for c in gaze))
-        track = F.when(F.lit(False), F.lit(None).cast("double"))
-        for c in gaze:
-            track = track.when(F.col(f"n_{c}") > 0, F.col(c))
-        has = F.lit(False)
-        for c in gaze:
-            has = has | (F.col(f"n_{c}") > 0)
-        miss = samples.join(some, "recording_id").where(has & track.isNull()).select("recording_id", F.col("time").cast("long").alias("at"), F.lit(0).alias("side"), F.col("time").cast("long").alias("miss"), F.lit(None).cast("long").alias("seq"))
-        ask = b.select("recording_id", F.col("limit").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("miss"), F.col("event_seq").alias("seq"))
-        last = miss.unionByName(ask).withColumn("last", F.max("miss").over(w)).where("side = 1").select("recording_id", F.col("seq").alias("event_seq"), "last")
-        b = b.join(last, ["recording_id", "event_seq"]).join(some.select("recording_id", has.alias("has")), "recording_id", "left")
-        found = F.when(F.coalesce("has", F.lit(False)), F.greatest(F.col("sttime"), F.coalesce("last", F.col("sttime")))).otherwise(F.col("limit"))
-    else:
-        found = F.col("limit")
-    b = b.withColumn("entime", F.when(F.col("binary"), found).otherwise(F.col("entime")))
-    asis = b.where(~F.col("binary")).select("recording_id", "sttime", "entime", "eye")
-    first = b.where("binary").groupBy("recording_id", "eye", "entime").agg(F.min("sttime").alias("sttime"))
-    o = Window.partitionBy("recording_id", "eye").orderBy("sttime", "entime")
+        # The first eye with any gaze tells what is missing; recordings without any keep the saccade's end.
+        track, has = F.lit(None).cast("double"), F.lit(False)
+        for c in reversed(gaze):
+            some = F.count(c).over(rid) > 0
+            track, has = F.when(some, F.col(c)).otherwise(track), has | some
+        t = samples.select("recording_id", F.col("time").cast("long").alias("at"), track.alias("x"), has.alias("has")).where("has and x is null")
+        miss = t.select("recording_id", "at", F.lit(0).alias("side"), F.col("at").alias("miss"), F.lit(True).alias("has"), F.lit(None).cast("long").alias("limit"), none.alias("b"))
+        gazed = samples.groupBy("recording_id").agg(F.greatest(*(F.count(c) for c in gaze), F.lit(0)).alias("n")).where("n > 0") if gaze else samples.select("recording_id").limit(0)
+        mark = gazed.select("recording_id", F.lit(None).cast("long").alias("at"), F.lit(-1).alias("side"), F.lit(None).cast("long").alias("miss"), F.lit(True).alias("has"), F.lit(None).cast("long").alias("limit"), none.alias("b"))
+        ask = blinks.select("recording_id", F.col("limit").alias("at"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("miss"), F.lit(None).cast("boolean").alias("has"), "limit", "b")
+        blinks = mark.unionByName(miss).unionByName(ask).withColumn("last", F.max("miss").over(w)).withColumn("has", F.max("has").over(rid)).where("side = 1")
+        found = F.when(F.coalesce("has", F.lit(False)), F.greatest(F.col("b.sttime"), F.coalesce("last", F.col("b.sttime")))).otherwise(F.col("limit"))
+    b = blinks.select("recording_id", "b.event_seq", "b.sttime", "b.eye", "b.binary", F.when(F.col("b.binary"), found).otherwise(F.col("b.entime")).alias("entime"))
+    # Only binary recordings' blinks merge: others are islands of their own.
+    first = b.groupBy("recording_id", "eye", "entime", "binary", F.when(~F.col("binary"), F.col("event_seq")).alias("alone")).agg(F.min("sttime").alias("sttime"))
+    o = Window.partitionBy("recording_id", "eye").orderBy("sttime", "entime", "alone")
     reach = F.max("entime").over(o.rowsBetween(Window.unboundedPreceding, -1))
-    island = first.withColumn("_new", F.coalesce(F.col("sttime") > reach + 1, F.lit(True)).cast("int")).withColumn("_i", F.sum("_new").over(o.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    merged = island.groupBy("recording_id", "eye", "_i").agg(F.min("sttime").alias("sttime"), F.max("entime").alias("entime")).select("recording_id", "sttime", "entime", "eye")
-    out = asis.unionByName(merged).withColumn("duration", F.col("entime") - F.col("sttime") + 1)
-    return out.withColumn("event_seq", F.row_number().over(Window.partitionBy("recording_id").orderBy("eye", "sttime")).cast("long"))
+    island = first.withColumn("_new", F.coalesce(~F.col("binary") | (F.col("sttime") > reach + 1), F.lit(True)).cast("int")).withColumn("_i", F.sum("_new").over(o.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = island.groupBy("recording_id", "eye", "_i").agg(F.min("sttime").alias("sttime"), F.max("entime").alias("entime")).select("recording_id", "sttime", "entime", "eye")
+    out = out.withColumn("duration", F.col("entime") - F.col("sttime") + 1)
+    return out.withColumn("event_seq", F.row_number().over(rid.orderBy("eye", "sttime")).cast("long"))
 
 
 # -------------------------------------------------------------------------------------------------------------- joins
