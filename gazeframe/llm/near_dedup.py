@@ -10,13 +10,15 @@ are the connected components of the pairs at ``threshold`` or more.
 Candidates. Equal word sequences are one node from the start. A band's bucket of at most ``small`` nodes gives all its
 pairs; a larger one gives each node with the bucket's most shared node (that whose bands are in the largest buckets: a
 group's centre). The nodes of larger buckets that are then still in several classes are banded anew, more strictly (six
-samples to a band), and treated in the same way; in buckets that are large even so, each node is also paired with the next
-``small`` in the order of centrality. A pair whose signatures agree in fewer than ``agree`` places (far below what 0.8 gives) is passed over.
+samples to a band), and treated in the same way. In the larger buckets (of the first banding) that are in several classes
+even so, all nodes of different classes meet: by pairs of blocks, whose nodes carry ``wide`` samples, and what agrees in
+these is verified. A pair whose signatures agree in fewer than ``agree`` places (far below what 0.8 gives) is passed over.
 
 Scale. Signatures are taken in the tasks that read the texts. What is shuffled: sketches, (band, node) rows, and the texts
 of candidates, picked in the scan by a bitmap of fixed size (a false hit costs a row, no result). A pair's texts meet by
 (centre, salt), so that a centre with a third of all rows is spread out. Joins on bands are sort-merge joins, which
-adaptive execution splits where a bucket is large. Classes are found by label propagation with pointer jumps, every
+adaptive execution splits where a bucket is large. Comparing blocks takes time by the square of the nodes of such a bucket,
+about a ten-millionth of a second a pair; a task gets two blocks of at most some 2,048 nodes. Classes are found by label propagation with pointer jumps, every
 step written to the shared folder. Nothing unbounded is collected.
 
 Defined cases: a null text is empty. Texts without words are alike only if they are equal. Repeated rows, and rows with
@@ -40,6 +42,8 @@ from gazeframe.llm.cws import jaccard, sample
 WIDTH, DEPTH, SLICES = 1 << 18, 2, 64
 #: Bits of the bitmap of candidates.
 BITMAP = 1 << 23
+#: Nodes of a block and, of the pairs of two blocks, those that are compared at once.
+BLOCK, AT_ONCE = 2048, 1 << 20
 _ROW = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -176,10 +180,10 @@ def _bitmap(spark: SparkSession, pairs: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, sent, text: str, threshold: float) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts are at least ``threshold`` alike."""
+def _texts(docs: DataFrame, bits_of: DataFrame, text: str) -> DataFrame:
+    """(node, raw) of the nodes of ``bits_of`` (na, nb), and of a few others by false hits."""
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(_bitmap(spark, pairs))
+    bits = spark.sparkContext.broadcast(_bitmap(spark, bits_of))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -198,8 +202,12 @@ def verify(docs: DataFrame, pairs: DataFrame, sent, text: str, threshold: float)
 
     small_batches(spark)
     # Equal word sequences may differ in their bytes; any of them will do, the least is as good as any.
-    texts = docs.select(text).mapInArrow(pick, "node binary, raw binary").groupBy("node").agg(F.min("raw").alias("raw"))
-    texts = materialize(texts)
+    return materialize(docs.select(text).mapInArrow(pick, "node binary, raw binary").groupBy("node").agg(F.min("raw").alias("raw")))
+
+
+def verify(docs: DataFrame, pairs: DataFrame, sent, text: str, threshold: float, texts: DataFrame | None = None) -> DataFrame:
+    """The (a, b) of ``pairs`` whose texts are at least ``threshold`` alike; ``texts``: (node, raw), if they are at hand."""
+    texts = _texts(docs, pairs, text) if texts is None else texts
     n = pairs.count()
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(max(64, n // 20_000))).cast("int"))
     left = salted.join(texts.select(F.col("node").alias("a"), F.col("raw").alias("ta")).hint("shuffle_merge"), "a")
@@ -248,6 +256,7 @@ def near_duplicates(
     alpha: float = 0.1,
     small: int = 48,
     agree: int = 25,
+    wide: int = 240,
 ) -> DataFrame:
     """(doc_id, class_id, representative) of each document; class_id: the least id of its class."""
     spark = docs.sparkSession
@@ -269,16 +278,19 @@ def near_duplicates(
     links = materialize(verify(docs, pairs, sent, text, threshold))
     if links.limit(1).count():
         labels = components(links)
-    # Larger buckets that still hold several classes: by stricter bands, and by rank within those that stay large.
-    of = buckets.drop("label").join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else buckets
-    mixed = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where((F.col("n") > small) & (F.col("l") != F.col("h"))).select("bucket")
-    strict = materialize(_stricter(of.join(mixed.hint("shuffle_merge"), "bucket"), bands * rows))
+    # Larger buckets that still hold several classes: by stricter bands, then all against all.
+    strict = materialize(_stricter(_mixed(buckets, labels, small), bands * rows))
     if strict.limit(1).count():
-        again = candidate_pairs(strict, small, agree).unionByName(_runs(strict, small, agree)).distinct()
-        pairs = materialize(again.join(pairs.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"))
+        pairs = materialize(candidate_pairs(strict, small, agree).join(pairs.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"))
         found = materialize(verify(docs, pairs, sent, text, threshold))
         if found.limit(1).count():
-            labels = components(links.unionByName(found))
+            links = materialize(links.unionByName(found))
+            labels = components(links)
+        left = materialize(_mixed(buckets, labels, small))
+        if left.limit(1).count():
+            found = materialize(_all_against_all(docs, left, sent, text, threshold, agree, bands * rows, max(wide, bands * rows)))
+            if found.limit(1).count():
+                labels = components(links.unionByName(found))
 
     nodes = sig.groupBy("node").agg(F.min("_id").alias("least"))
     if labels is None:
@@ -301,18 +313,76 @@ def _stricter(rows: DataFrame, samples: int, bands: int = 20, size: int = 6) ->
     return nodes.select("node", "n1", "sketch", "rank", "label", F.explode(keys).alias("bucket"))
 
 
-def _runs(buckets: DataFrame, small: int, agree: int) -> DataFrame:
-    """Each node with the next ``small`` of its bucket in the order of centrality, in buckets of more than that."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("bucket")
-    at = buckets.withColumn("n", F.count(F.lit(1)).over(w)).where(F.col("n") > small).withColumn("at", F.row_number().over(w.orderBy("rank")))
-    one = F.struct("node", "n1", "sketch", "at", "label")
-    block = F.floor(F.col("at") / small)
-    x = at.select("bucket", one.alias("x"), F.explode(F.array(block, block + 1)).alias("block"))
-    y = at.select("bucket", one.alias("y"), block.alias("block"))
-    both = x.join(y.hint("shuffle_merge"), ["bucket", "block"]).where((F.col("x.at") < F.col("y.at")) & (F.col("y.at") <= F.col("x.at") + small) & (F.col("x.label") != F.col("y.label"))).where(_agreeing(agree))
-    return both.select(F.col("y.node").alias("a"), F.col("x.node").alias("b"), F.col("y.n1").alias("na"), F.col("x.n1").alias("nb")).distinct()
+def _mixed(buckets: DataFrame, labels: DataFrame | None, small: int) -> DataFrame:
+    """The rows of buckets of more than ``small`` nodes that are in several classes, with their labels so far."""
+    of = buckets
+    if labels is not None:
+        of = buckets.drop("label").join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where((F.col("n") > small) & (F.col("l") != F.col("h")))
+    return of.join(mixed.select("bucket").hint("shuffle_merge"), "bucket")
+
+
+def agreeing_pairs(x: np.ndarray, y: np.ndarray, lx: np.ndarray, ly: np.ndarray, first: int, agree: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of rows of ``x`` and ``y`` with different labels that agree in ``agree`` of the ``first`` samples and in
+    ``least`` of all."""
+    step = max(1, AT_ONCE // max(len(y), 1))
+    got = []
+    across = np.ascontiguousarray(y[:, :first].T)
+    for i in range(0, len(x), step):
+        part = x[i : i + step]
+        same = np.zeros((len(part), len(y)), np.uint8)
+        for k in range(first):
+            same += part[:, k, None] == across[k]
+        p, q = np.nonzero((same >= agree) & (lx[i : i + step, None] != ly))
+        for j in range(0, len(p), 1 << 16):
+            a, b = p[j : j + (1 << 16)], q[j : j + (1 << 16)]
+            ok = (part[a] == y[b]).sum(1) >= least
+            got.append((a[ok] + i, b[ok]))
+    return tuple(np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def _all_against_all(docs: DataFrame, rows: DataFrame, sent, text: str, threshold: float, agree: int, first: int, wide: int) -> DataFrame:
+    """The links between nodes of different labels that share a bucket of ``rows``."""
+    texts = _texts(docs, rows.select(F.col("n1").alias("na"), F.col("n1").alias("nb")), text)
+    # More than four standard deviations below what two texts at the threshold agree in.
+    least = int(wide * threshold - 4.3 * (wide * threshold * (1 - threshold)) ** 0.5)
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for raw in bytes_of(b.column(1)):
+                words = word_hashes(raw)
+                terms, w = weighted(words, sent.value)
+                got.append((sample(terms, np.log(w), wide) & np.uint64(127)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "wide"])
+
+    sketches = texts.mapInArrow(widen, "node binary, wide binary")
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
+    own = rows.select("bucket", "node", "n1", "label").join(sizes.hint("shuffle_merge"), "bucket").join(sketches.hint("shuffle_merge"), "node")
+    block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int")
+    own = own.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    own = own.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n1", "label", "wide")
+
+    def compare(key: tuple, t: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        node, n1 = t.column("node").combine_chunks(), t.column("n1").to_numpy()
+        label = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)[1]
+        s = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(len(node), wide)
+        at = t.column("block").to_numpy()
+        x, y = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        p, q = agreeing_pairs(s[x], s[y], label[x], label[y], first, agree, least)
+        p, q = x[p], y[q]
+        if i == j:
+            p, q = p[p < q], q[p < q]
+        names = node.to_pylist()
+        a, b = [names[k] for k in p.tolist()], [names[k] for k in q.tolist()]
+        # The less node comes first, so that a pair is the same in all buckets.
+        turned = [(u, v, m, n) if u < v else (v, u, n, m) for u, v, m, n in zip(a, b, n1[p].tolist(), n1[q].tolist(), strict=True)]
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
+        return pa.table([pa.array([r[k] for r in turned], kind) for k, kind in enumerate(kinds)], names=["a", "b", "na", "nb"])
+
+    pairs = materialize(own.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary, na long, nb long").distinct())
+    return verify(docs, pairs, sent, text, threshold, texts)
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:

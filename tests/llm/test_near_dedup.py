@@ -4,7 +4,7 @@ import numpy as np
 
 from gazeframe.llm.common import shingles, word_hashes
 from gazeframe.llm.cws import jaccard, sample
-from gazeframe.llm.near_dedup import components, drop_near_duplicates, near_duplicates
+from gazeframe.llm.near_dedup import agreeing_pairs, components, drop_near_duplicates, near_duplicates
 
 
 def _text(rng, n):
@@ -69,6 +69,32 @@ def test_against_brute_force(spark):
     assert kept.count() == len({r.class_id for r in got.values()})
 
 
+def test_pairs_within_a_templated_family(spark):
+    # All texts share a passage and are about 0.72 alike; each has one partner, about 0.83 alike, that is no centre of the family.
+    rng = random.Random(6)
+    passage, rows = _text(rng, 200).split(), []
+    for _ in range(200):
+        own = _text(rng, 14).split()
+        for _ in range(2):
+            words = list(passage)
+            for at in rng.sample(range(10, 190, 12), 2):
+                words[at] = "".join(rng.choice("klmnop") for _ in range(5))
+            rows.append(" ".join(words + own))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in near_duplicates(df, small=5).collect()}
+    assert got == {i: i - i % 2 for i in range(400)}
+
+
+def test_agreeing_pairs():
+    rng = np.random.default_rng(2)
+    s, label = rng.integers(0, 3, (90, 40)).astype(np.uint8), rng.integers(0, 9, 90)
+    s[50:60] = s[:10]
+    got = set(zip(*(k.tolist() for k in agreeing_pairs(s[:50], s[50:], label[:50], label[50:], 10, 4, 18)), strict=True))
+    same = s[:50, None] == s[None, 50:]
+    want = (same[:, :, :10].sum(2) >= 4) & (same.sum(2) >= 18) & (label[:50, None] != label[50:])
+    assert got == set(zip(*(k.tolist() for k in np.nonzero(want)), strict=True)) and got
+
+
 def test_repeated_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "d e f")], "doc_id long, text string")
     assert near_duplicates(df).count() == 4 and drop_near_duplicates(df).count() == 2
