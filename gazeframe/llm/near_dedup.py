@@ -149,10 +149,15 @@ def signatures(docs: DataFrame, sent, text: str, doc_id: str, bands: int, rows:
         n1 = np.frombuffer(b"".join(g[0][:8] for g in got), np.int64) & (BITMAP - 1)
         return {"node": [g[0] for g in got], "n1": pa.array(n1), "bands": [g[1] for g in got], "sketch": [g[2] for g in got]}
 
-    src = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
+    src = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *_key(text))
     return map_texts(src, ["_id", "_text"], [("node", "binary"), ("n1", "long"), ("bands", "array<long>"), ("sketch", "array<tinyint>")], work).drop("_text")
 
 
+def _key(text: str) -> tuple:
+    """128 bits of a text's bytes, as two columns; null is not the empty text."""
+    return F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), F.col(text)).alias("_k2")
+
+
 def _agreeing(least: int):
     return F.aggregate(F.zip_with("x.sketch", "y.sketch", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, v: s + v) >= least
 
@@ -258,14 +263,21 @@ def near_duplicates(
     agree: int = 25,
     wide: int = 240,
 ) -> DataFrame:
-    """(doc_id, class_id, representative) of each document; class_id: the least id of its class."""
+    """(doc_id, class_id, representative) of each document; class_id: the least id of its class. Where an id is null or has
+    several texts, different classes may bear one name: ``drop_near_duplicates`` tells them apart."""
+    out = _classes(docs, text, doc_id, threshold, bands, rows, alpha, small, agree, wide)
+    return out.select(F.col("_id").alias("doc_id"), "class_id", F.col("_id").eqNullSafe(F.col("class_id")).alias("representative"))
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, bands: int, rows: int, alpha: float, small: int, agree: int, wide: int) -> DataFrame:
+    """(_id, _k1, _k2, node, label, class_id) of each document; label: the class itself, class_id: its name."""
     spark = docs.sparkSession
     sketch, n_docs = count_sketch(docs, text)
     sent = spark.sparkContext.broadcast(Idf(sketch, n_docs, alpha))
     sig = materialize(signatures(docs, sent, text, doc_id, bands, rows))
 
     # One row for each node: equal texts are merged before they move.
-    info = sig.where(F.size("bands") > 0).drop("_id").dropDuplicates(["node"])
+    info = sig.where(F.size("bands") > 0).drop("_id", "_k1", "_k2").dropDuplicates(["node"])
     flat = info.select("node", F.explode("bands").alias("bucket"))
     sizes = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialize(flat.join(sizes.hint("shuffle_merge"), "bucket"))
@@ -294,13 +306,12 @@ def near_duplicates(
 
     nodes = sig.groupBy("node").agg(F.min("_id").alias("least"))
     if labels is None:
-        classes = nodes.select("node", F.col("least").alias("class_id"))
+        classes = nodes.select("node", F.col("node").alias("label"), F.col("least").alias("class_id"))
     else:
         tagged = nodes.join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = tagged.groupBy("label").agg(F.min("least").alias("class_id"))
-        classes = tagged.join(named.hint("shuffle_merge"), "label").select("node", "class_id")
-    out = sig.select("_id", "node").join(classes.hint("shuffle_merge"), "node")
-    return out.select(F.col("_id").alias("doc_id"), "class_id", F.col("_id").eqNullSafe(F.col("class_id")).alias("representative"))
+        classes = tagged.join(named.hint("shuffle_merge"), "label").select("node", "label", "class_id")
+    return sig.select("_id", "_k1", "_k2", "node").join(classes.hint("shuffle_merge"), "node")
 
 
 def _stricter(rows: DataFrame, samples: int, bands: int = 20, size: int = 6) -> DataFrame:
@@ -385,7 +396,23 @@ def _all_against_all(docs: DataFrame, rows: DataFrame, sent, text: str, threshol
     return verify(docs, pairs, sent, text, threshold, texts)
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """One document of each class: that with the least id."""
-    kept = near_duplicates(docs, text, doc_id, **how).where("representative").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("shuffle_merge"), F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([doc_id])
+def drop_near_duplicates(
+    docs: DataFrame,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    threshold: float = 0.8,
+    bands: int = 12,
+    rows: int = 4,
+    alpha: float = 0.1,
+    small: int = 48,
+    agree: int = 25,
+    wide: int = 240,
+) -> DataFrame:
+    """One document of each class: that with the least id (nulls last), then the least node and text."""
+    got = _classes(docs, text, doc_id, threshold, bands, rows, alpha, small, agree, wide)
+    first = got.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "node", "_k1", "_k2")).alias("f"))
+    kept = first.select(F.col("f._id").alias("_kept"), F.col("f._k1").alias("_x1"), F.col("f._k2").alias("_x2"))
+    k1, k2 = _key(text)
+    own = docs.withColumn("_k1", k1).withColumn("_k2", k2)
+    same = F.col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_k1") == F.col("_x1")) & (F.col("_k2") == F.col("_x2"))
+    return own.join(kept.hint("shuffle_merge"), same, "left_semi").dropDuplicates([doc_id, "_k1", "_k2"]).drop("_k1", "_k2")

@@ -101,6 +101,12 @@ def test_repeated_ids_and_empty_table(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids_with_different_texts(spark):
+    rows = [(None, "a b c"), (None, "d e f"), (None, "A, b c"), (1, "g h i"), (1, "j k l"), (1, "g h i"), (2, "j k l"), (3, "a b c")]
+    kept = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == [(0, "d e f"), (1, "g h i"), (1, "j k l"), (3, "a b c")]
+
+
 def test_collision_rate_is_weighted_jaccard():
     rng = np.random.default_rng(0)
     terms = np.sort(rng.integers(0, 2**63, 60, dtype=np.uint64))
