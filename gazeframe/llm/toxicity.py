@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes, calibration.
 
 Method. Terms are lower-cased words and their beginnings (4 to 8 bytes). Of the labelled examples' terms, those that go
-with a label far more than chance (chi-square) make the space; a text is its TF-IDF vector there, with document frequencies
+with a label far more than chance (chi-square; the bound follows the number of labels) make the space; a text is its TF-IDF vector there, with document frequencies
 counted over all documents. Examples lie in blocks of 64; for each term and block the index holds the largest weight. A
 query takes blocks in the order of their bounds and stops when a bound falls below the k-th best cosine: the k nearest are
 exact. Votes are weighted by distance; a logistic curve fitted on the examples' own leave-one-out votes calibrates
@@ -102,6 +102,15 @@ def select_terms(texts: list[bytes], labels: np.ndarray, most: int, least_chi: f
     return [names[k] for k in order]
 
 
+def choose_terms(texts: list[bytes], labels: np.ndarray, most: int, least_chi: float) -> list[bytes]:
+    """``select_terms`` with a bound that few labels can reach: chi-square is at most their number, so a quarter of that is
+    enough, and where no term reaches it, half as much, down to what goes beyond chance at 5 %."""
+    bound = min(least_chi, len(texts) / 4)
+    while not (got := select_terms(texts, labels, most, bound)) and bound > 3.84:
+        bound = max(bound / 2, 3.84)
+    return got
+
+
 class BlockMaxIndex:
     """Exact k nearest unit vectors by cosine. ``vectors``: (terms, weights) of each example, terms ascending."""
 
@@ -217,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(picked), "_id")  # about ``examples`` rows
     got = sorted({(str(r[0]), r[2], r[1]) for r in rows.select("_id", "_t", "_y").collect()})
     texts, ys = [t.encode() for _, _, t in got], np.array([y for _, y, _ in got], np.int64)
-    terms = select_terms(texts, ys, most_terms, least_chi) if got else []
+    terms = choose_terms(texts, ys, most_terms, least_chi) if got else []
     df, n_docs = _document_frequencies(docs, text, terms)
     return Model(terms, df, n_docs, texts, ys, [i for i, _, _ in got], k)
 

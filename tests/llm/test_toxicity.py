@@ -53,6 +53,15 @@ def test_held_out_accuracy_and_odd_texts(spark):
     assert odd[1002].tox_evidence
 
 
+def test_few_labels_still_make_a_space(spark):
+    # The only telling word is in 4 of 9 toxic texts of 64: its chi-square is 26.
+    rows = [(i, "eins grobian" if i < 4 else "eins zwei", int(i < 9)) for i in range(64)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, "zwei grobian"), (901, "zwei")], "doc_id long, text string")
+    model = train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), F.lit(True))
+    got = {r.doc_id: r.tox_predicted for r in score_toxicity(docs, model).collect()}
+    assert model.terms and got[900] == 1 and got[901] == 0
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
