@@ -4,7 +4,7 @@ Method. A token's probability is that of its class after the classes of the two
 class. The end of a text and the ``frequent`` most frequent words are classes of their own; other words are classed
 by their first two bytes. Classes are predicted by a log-bilinear model: the predicted vector is the sum of the context
 classes' vectors, each times its position's matrix; a class scores its product with the class's vector plus a bias. The
-model learns to tell classes from noise drawn from their unigram distribution. For scoring, all contexts' products with all
+model learns to tell classes from noise of their unigram distribution, whose expectation is taken over all classes. For scoring, all contexts' products with all
 classes are taken in batches and normalised exactly. Within a class, a word has its count's share of what a
 Good-Turing estimate (the mass of words counted once) leaves to known words; the rest is the unknown words'.
 
@@ -12,8 +12,8 @@ Scale. Counts cover every token of the training documents: each task counts its
 adds the counts up by word. The whole vocabulary stays distributed: only the at most ``head`` most frequent words, those
 above a count taken from the distribution of counts, are sent to the tasks; the other words' rows, one for each
 document and word, are joined with the vocabulary. A word that is in many documents is in the head, so that no key
-of that join is hot. The network is trained on at most about ``sample_docs`` documents (``positions`` places spread over
-each), chosen by a hash with a rate from the exact count.
+of that join is hot. The network is trained on every place of all training documents: tasks count (context, class) places, Spark
+adds them up by context, and the driver gets one row of counts for each of the at most classes ** 2 contexts.
 
 Defined cases: a null text is empty: one end token. Without training documents every word is unknown. Repeated rows are
 scored alike, each by itself. Input columns named like an output column are replaced.
@@ -37,6 +37,8 @@ from gazeframe.llm.common import LOWER, bytes_of, map_texts, materialize, small_
 END = b"\n"
 #: Distinct words that a task counts before it hands them on.
 HELD = 250_000
+#: Places that a task counts before it hands them on.
+PLACES = 1 << 21
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -140,38 +142,33 @@ class LogBilinear:
         f = lambda *s: (rng.normal(0, 0.1, s)).astype(np.float32)
         self.p = {"R": f(classes, dim), "Q": f(classes, dim), "C1": np.eye(dim, dtype=np.float32), "C2": np.eye(dim, dtype=np.float32), "b": np.log(np.maximum(self.noise, 1e-12)).astype(np.float32)}
 
-    def fit(self, two: np.ndarray, one: np.ndarray, target: np.ndarray, epochs: int = 6, batch: int = 2048, noises: int = 96, rate: float = 0.02, seed: int = 0) -> LogBilinear:
-        """Noise-contrastive estimation; a batch shares its noise samples, so that all its scores are matrix products."""
+    def fit(self, context: np.ndarray, counts: np.ndarray, epochs: int = 40, batch: int = 1024, noises: int = 96, rate: float = 0.02, seed: int = 0) -> LogBilinear:
+        """Noise-contrastive estimation on counts of classes by context (two places before, one before); a batch of contexts
+        counts each of its places, against ``noises`` expected noise classes a place."""
         rng, p, m, s, k = np.random.default_rng(seed), self.p, {}, {}, 0
-        log_noise = np.log(noises * np.maximum(self.noise, 1e-12)).astype(np.float32)
-        total = epochs * -(-len(target) // batch)
+        prior = (noises * np.maximum(self.noise, 1e-12)).astype(np.float32)
+        log_noise = np.log(prior)
+        steps = -(-len(context) // batch)
+        total, mean = epochs * steps, counts.sum(dtype=np.float64) / steps
         for _ in range(epochs):
-            order = rng.permutation(len(target))
+            order = rng.permutation(len(context))
             for i in range(0, len(order), batch):
                 at = order[i : i + batch]
-                w2, w1, y = two[at], one[at], target[at]
-                fake = rng.choice(len(self.noise), noises, p=self.noise)
+                (w2, w1), n = context[at].T, counts[at]
                 r2, r1 = p["R"][w2], p["R"][w1]
                 q = r2 @ p["C2"] + r1 @ p["C1"]
-                true = (q * p["Q"][y]).sum(1) + p["b"][y] - log_noise[y]
-                false = q @ p["Q"][fake].T + p["b"][fake] - log_noise[fake]
-                gt = (1 / (1 + np.exp(-true)) - 1) / len(at)
-                gf = 1 / (1 + np.exp(-false)) / len(at)
-                gq = gt[:, None] * p["Q"][y] + gf @ p["Q"][fake]
-                grad = {n: np.zeros_like(x) for n, x in p.items()}
-                np.add.at(grad["Q"], y, gt[:, None] * q)
-                np.add.at(grad["Q"], fake, gf.T @ q)
-                np.add.at(grad["b"], y, gt)
-                np.add.at(grad["b"], fake, gf.sum(0))
-                grad["C2"], grad["C1"] = r2.T @ gq, r1.T @ gq
+                real = 1 / (1 + np.exp(np.clip(log_noise - q @ p["Q"].T - p["b"], -60, 60)))
+                g = ((real * (n + n.sum(1)[:, None] * prior) - n) / mean).astype(np.float32)
+                gq = g @ p["Q"]
+                grad = {"Q": g.T @ q, "b": g.sum(0), "C2": r2.T @ gq, "C1": r1.T @ gq, "R": np.zeros_like(p["R"])}
                 np.add.at(grad["R"], w2, gq @ p["C2"].T)
                 np.add.at(grad["R"], w1, gq @ p["C1"].T)
                 k += 1
                 lr = rate * (1 - k / (total + 1))
-                for n, g in grad.items():
-                    m[n] = 0.9 * m.get(n, 0) + 0.1 * g
-                    s[n] = 0.99 * s.get(n, 0) + 0.01 * g * g
-                    p[n] -= (lr * (m[n] / (1 - 0.9**k)) / (np.sqrt(s[n] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
+                for name, d in grad.items():
+                    m[name] = 0.9 * m.get(name, 0) + 0.1 * d
+                    s[name] = 0.99 * s.get(name, 0) + 0.01 * d * d
+                    p[name] -= (lr * (m[name] / (1 - 0.9**k)) / (np.sqrt(s[name] / (1 - 0.99**k)) + 1e-8)).astype(np.float32)
         return self
 
     def table(self) -> np.ndarray:
@@ -198,7 +195,7 @@ def _table_of(key: str, net: LogBilinear) -> np.ndarray:
     return _TABLES[key]
 
 
-def learn(docs: DataFrame, fit: Column, text: str = "text", doc_id: str = "doc_id", head: int = 150_000, frequent: int = 160, buckets: int = 94, sample_docs: int = 4000, positions: int = 150, seed: int = 0) -> tuple[DataFrame, Vocabulary, LogBilinear]:
+def learn(docs: DataFrame, fit: Column, text: str = "text", doc_id: str = "doc_id", head: int = 150_000, frequent: int = 160, buckets: int = 94, seed: int = 0) -> tuple[DataFrame, Vocabulary, LogBilinear]:
     """The vocabulary as a table (word, c), its head and classes, and the trained network."""
     spark = docs.sparkSession
     rows = docs.where(fit)
@@ -213,32 +210,61 @@ def learn(docs: DataFrame, fit: Column, text: str = "text", doc_id: str = "doc_i
         if n > head:
             break
         least = r["s"]
-    top = [] if least is None else [(bytes(r[0]), int(r[1])) for r in vocabulary.where(step >= least).collect()]
+    # The end is always in the head: it is a class of its own, whose count must be known.
+    in_head = F.expr("word = X'0A'") if least is None else (step >= least) | F.expr("word = X'0A'")
+    top = [(bytes(r[0]), int(r[1])) for r in vocabulary.where(in_head).collect()]
     top.sort(key=lambda x: (-x[1], x[0]))
     two = F.expr("substring(word, 1, 2)")
     prefixes = [(bytes(r[0]), int(r[1]), int(r[2])) for r in vocabulary.groupBy(two.alias("p")).agg(F.sum("c"), F.sum(F.when(F.col("c") == 1, 1).otherwise(0))).collect()]
     words = Vocabulary(top, prefixes, total, distinct, frequent, buckets)
 
-    n_docs = rows.select(F.lit(1)).count()
-    part = rows.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1_000_000)) < min(1.0, sample_docs / max(n_docs, 1)) * 1_000_000)
+    context, counts = count_places(rows, words, text)
+    net = LogBilinear(words.classes, words.mass, seed=seed)
+    if len(context):
+        net.fit(context, counts, seed=seed)
+    return vocabulary, words, net
+
+
+def count_places(docs: DataFrame, words: Vocabulary, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts (classes two places and one place before) and, for each, how often every class follows, over all tokens."""
+    spark, k = docs.sparkSession, words.classes
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(words)
 
-    def places(b: pa.RecordBatch) -> dict:
-        out = []
-        for raw in bytes_of(b.column("_text")):
-            c = sent.value.encode(raw)[1]
-            every = max(1, -(-len(c) // positions))
-            x2, x1 = contexts(c)
-            at = np.arange(len(c) - 1, -1, -every)
-            out.append(np.stack([x2[at], x1[at], c[at]]).T.astype(np.uint16).tobytes())
-        return {"_places": pa.array(out, pa.binary())}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        many = 0
 
-    got = sorted(bytes(r[0]) for r in map_texts(part.select(F.col(text).alias("_text")), ["_text"], [("_places", "binary")], places).select("_places").collect())
-    data = np.frombuffer(b"".join(got), np.uint16).reshape(-1, 3).astype(np.int64)
-    net = LogBilinear(words.classes, words.mass, seed=seed)
-    if len(data):
-        net.fit(data[:, 0], data[:, 1], data[:, 2], seed=seed)
-    return vocabulary, words, net
+        def hand_on() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(code // k), pa.array(code % k), pa.array(n.astype(np.int64))], names=["context", "y", "n"])
+
+        for b in batches:
+            for raw in bytes_of(b.column(0)):
+                c = sent.value.encode(raw)[1]
+                x2, x1 = contexts(c)
+                held.append((x2 * k + x1) * k + c)
+                many += len(c)
+                if many >= PLACES:
+                    yield hand_on()
+                    held, many = [], 0
+        if held:
+            yield hand_on()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for y, n in zip(b.column(1), b.column(2), strict=True):
+                row = np.zeros(k, np.float32)
+                row[y.values.to_numpy()] = n.values.to_numpy()
+                rows.append(row.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["context", "counts"])
+
+    added = docs.select(text).mapInArrow(count, "context long, y long, n long").groupBy("context", "y").agg(F.sum("n").alias("n"))
+    lists = added.groupBy("context").agg(F.collect_list(F.struct("y", "n")).alias("l")).select("context", "l.y", "l.n")  # at most k each
+    got = sorted((r[0], bytes(r[1])) for r in lists.mapInArrow(pack, "context long, counts binary").collect())
+    code = np.array([c for c, _ in got], np.int64)
+    return np.stack([code // k, code % k], 1), np.frombuffer(b"".join(n for _, n in got), np.float32).reshape(-1, k)
 
 
 _ADDED = [("n_tokens", "long"), ("_known", "long"), ("_base", "double"), ("_score", "double"), ("_rare", "array<struct<w:binary,n:int,k:int>>")]

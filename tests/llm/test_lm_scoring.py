@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from gazeframe.llm.lm_scoring import END, Vocabulary, contexts, learn, score_texts, tokens
+from gazeframe.llm.lm_scoring import END, Vocabulary, contexts, count_places, learn, score_texts, tokens
 
 
 def _docs():
@@ -38,6 +38,20 @@ def test_counts_base_and_gain(spark):
         assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_every_place_is_learnt_from(spark):
+    # One text of 20,000 places and many short ones: all of their places are in the counts.
+    rows = [(0, " ".join(["der die"] * 10000)), *((i, "the of tree") for i in range(1, 300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = learn(df, F.lit(True), frequent=6, buckets=4)[1]
+    context, counts = count_places(df, words, "text")
+    want = Counter()
+    for _, x in rows:
+        c = words.encode(x.encode())[1]
+        want.update(zip(*(v.tolist() for v in (*contexts(c), c)), strict=True))
+    got = {(*c, y): int(n[y]) for c, n in zip(context.tolist(), counts, strict=True) for y in np.flatnonzero(n).tolist()}
+    assert got == want and counts.sum() == 20001 + 299 * 4
+
+
 def test_probabilities_sum_to_one(spark):
     rows = _docs()[:100]
     df = spark.createDataFrame(rows, "doc_id long, text string, score double")
