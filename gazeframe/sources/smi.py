@@ -35,21 +35,24 @@ def _header(first: DataFrame) -> tuple[dict[str, list[str]], list[str], str]:
 
 
 def read_smi_text(spark: SparkSession, paths: str | Sequence[str]) -> GazeFrame:
-    """Sample rows of text exports with one header's columns: gaze from POR, else raw; pupil from both diameters; zeros
+    """Sample rows of text exports, each with its own header's columns: gaze from POR, else raw; pupil from both diameters; zeros
     are missing; times in ms; a trigger is a message. Geometry comes from the header, 30 cm and 50 cm without it."""
     text = lines(spark, paths)
-    head, cols, _ = _header(text)
-    at = {c: i for i, c in enumerate(cols)}
+    head, _, _ = _header(text)
+    # Columns lie where the recording's own header has them; geometry and rate are the first recording's.
+    own = text.where(F.startswith("line", F.lit("Time\t"))).groupBy("recording_id").agg(F.min_by("line", "n").alias("names"))
+    own = own.select("recording_id", F.transform(F.split("names", "\t"), lambda c: F.trim(F.regexp_replace(c, r"[\r\n]", ""))).alias("names"))
     last = lambda k, default: (head.get(k) or [default])[-1]
     p = F.split(F.trim("line"), "\t", -1)
-    field = lambda c: F.trim(F.get(F.col("p"), F.lit(at[c]))) if c in at else F.lit(None).cast("string")
+    field = lambda c: F.trim(F.get(F.col("p"), (F.array_position("names", c) - 1).cast("int")))
     num = lambda c: field(c).try_cast("double")
-    d = text.withColumn("p", p).where(field("Type") == "SMP")
+    d = text.join(F.broadcast(own), "recording_id").withColumn("p", p).where(field("Type") == "SMP")
     zero = lambda x, y, v: F.when(~((F.coalesce(x, F.lit(0.0)) == 0) & (F.coalesce(y, F.lit(0.0)) == 0)), v)
     out: dict[str, Column] = {}
     for e in "LR":
         rx, ry, px, py = (num(f"{e} {c} [px]") for c in ("Raw X", "Raw Y", "POR X", "POR Y"))
-        gx, gy = (px, py) if f"{e} POR X [px]" in at else (rx, ry)
+        por = F.array_contains("names", f"{e} POR X [px]")
+        gx, gy = F.when(por, px).otherwise(rx), F.when(por, py).otherwise(ry)
         dx, dy = num(f"{e} Dia X [px]"), num(f"{e} Dia Y [px]")
         pa = (dx + F.coalesce(dy, dx)) / 2.0
         out |= {f"gx{e}": zero(gx, gy, gx), f"gy{e}": zero(gx, gy, gy), f"pa{e}": F.when(pa != 0, pa), f"pupx{e}": zero(rx, ry, rx), f"pupy{e}": zero(rx, ry, ry)}

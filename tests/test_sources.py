@@ -218,3 +218,14 @@ def test_media(spark, tmp_path):
     assert read_stimuli(spark, str(tmp_path), ("txt",)).first().text == "café"
     assert contents(spark, f"{tmp_path}/a.png").first().recording_id == "a"
     assert np.isfinite(1.0)
+
+
+def test_smi_text_batch_by_each_header(spark, tmp_path):
+    from gazeframe.sources.smi import read_smi_text
+
+    two = ["Time", "Type", "Trial", "L POR X [px]", "L POR Y [px]", "R POR X [px]", "R POR Y [px]", "Trigger"]
+    one = ["Time", "Type", "Trial", "R POR X [px]", "R POR Y [px]", "Trigger"]
+    for name, cols, row in (("a", two, "1000\tSMP\t1\t10\t20\t30\t40\t0"), ("b", one, "2000\tSMP\t1\t50\t60\t7")):
+        (tmp_path / f"{name}.txt").write_text("\n".join(["## [BeGaze TXT Export]", "## Sample Rate:\t50", "\t".join(cols), row]) + "\n")
+    got = read_smi_text(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")]).df.orderBy("time").collect()
+    assert [(r.gxL, r.gyL, r.gxR, r.gyR, r.message) for r in got] == [(10, 20, 30, 40, ""), (None, None, 50, 60, "7")]
