@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -25,18 +26,51 @@ WORD_BYTES = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all machines share; /tmp/checkpoints where it is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A fresh folder below spark.checkpoint.dir, which all machines share. Where it is unset, a local session gets
+    /tmp/checkpoints; a cluster, whose machines don't share that, is refused."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        top = "file:///tmp/checkpoints"
     return f"{top.rstrip('/')}/gazeframe-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage in a way that survives lost executors."""
+def materialize(df: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts lineage in a way that survives lost executors. The files go
+    when the application ends, or with ``release(held)``, if the caller gave a list that their path is added to."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
     df.write.parquet(path)
+    _files(spark, path)[0].deleteOnExit(_files(spark, path)[1])
+    if held is not None:
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def release(spark: SparkSession, held: list[str]) -> None:
+    """Deletes materialized files that nothing reads any more."""
+    for path in held:
+        fs, where = _files(spark, path)
+        fs.delete(where, True)
+    held.clear()
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores added until no column of ``df`` is called so."""
+    have, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in have:
+            n += "_"
+        have.add(n.lower())
+        out.append(n)
+    return out
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bounds Arrow batches; a no-op once set."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

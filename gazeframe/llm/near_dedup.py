@@ -1,25 +1,28 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
 Method. A text's terms are its runs of five words (lower-cased, punctuation aside; a shorter text is one run). A run's
-weight is (1 + ln tf) x idf, where idf = 1 + ``alpha`` ln((1 + N) / (1 + df)) / ln(1 + N): common runs count less, but even a
+weight is (1 + ln tf) x idf, where idf = 1 + ``alpha`` ln((1 + N) / (1 + df)) / ln(2 + N): common runs count less, but even a
 passage that every document holds keeps a weight, so that large groups of copies don't lose theirs. Document
-frequencies are counted over all documents in a count-mean-min sketch of fixed size. ``bands x rows`` samples make a signature;
-texts that share a band are candidates, whose weighted Jaccard similarity is then taken exactly from the texts. Classes
+frequencies are counted over all documents in a count-mean-min sketch of fixed size. ``bands x rows`` samples make a signature,
+which is cut into bands of ``rows`` samples in two ways; texts that share any of these are candidates, whose weighted Jaccard similarity is then taken exactly from the texts. Classes
 are the connected components of the pairs at ``threshold`` or more.
 
 Candidates. Equal word sequences are one node from the start. A band's bucket of at most ``small`` nodes gives all its
 pairs; a larger one gives each node with the bucket's most shared node (that whose bands are in the largest buckets: a
-group's centre). The nodes of larger buckets that are then still in several classes are banded anew, more strictly (six
-samples to a band), and treated in the same way. In the larger buckets (of the first banding) that are in several classes
-even so, all nodes of different classes meet: by pairs of blocks, whose nodes carry ``wide`` samples, and what agrees in
-these is verified. A pair whose signatures agree in fewer than ``agree`` places (far below what 0.8 gives) is passed over.
+group's centre), which joins a group of copies in as many rows as it has nodes. Larger buckets that are in several classes
+even so are treated by their size. Up to ``BLOCK`` nodes, one task compares the nodes' ``wide`` samples in memory and gives
+the pairs of different classes that agree well enough. Beyond, the nodes are banded anew with more samples to a band
+(``DEEPER``: fewer unlike nodes meet, and so many bands that nodes alike at the threshold meet with a probability of 0.997 or
+more), and these buckets are treated in the same way, until none is left: a bucket of more than ``BLOCK`` nodes that still
+holds several classes after the last banding is compared in pairs of blocks. A pair is passed over if it agrees in fewer samples
+than two texts at the threshold do, less 3.5 standard deviations; every other pair is verified from the texts.
 
 Scale. Signatures are taken in the tasks that read the texts. What is shuffled: sketches, (band, node) rows, and the texts
 of candidates, picked in the scan by a bitmap of fixed size (a false hit costs a row, no result). A pair's texts meet by
 (centre, salt), so that a centre with a third of all rows is spread out. Joins on bands are sort-merge joins, which
-adaptive execution splits where a bucket is large. Comparing blocks takes time by the square of the nodes of such a bucket,
-about a ten-millionth of a second a pair; a task gets two blocks of at most some 2,048 nodes. Classes are found by label propagation with pointer jumps, every
-step written to the shared folder. Nothing unbounded is collected.
+adaptive execution splits where a bucket is large. A task holds at most two blocks. Only nodes of mixed buckets of more than
+``BLOCK`` nodes go to the next banding, by n bands each, not to a comparison of all with all. Classes are found by label
+propagation with pointer jumps, every step written to the shared folder and deleted after use. Nothing unbounded is collected.
 
 Defined cases: a null text is empty. Texts without words are alike only if they are equal. Repeated rows, and rows with
 equal ids, are in one class if their texts are. A class is named by its least id (nulls aside). An empty table gives an
@@ -36,14 +39,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import bytes_of, map_texts, materialize, mix, shingles, small_batches, word_hashes
+from gazeframe.llm.common import bytes_of, fresh, map_texts, materialize, mix, release, shingles, small_batches, word_hashes
 from gazeframe.llm.cws import jaccard, sample
 
 WIDTH, DEPTH, SLICES = 1 << 18, 2, 64
+#: How much the IDF weighs: factors from 1 (a run that all documents hold) to 1 + ALPHA (one of its own).
+ALPHA = 0.5
 #: Bits of the bitmap of candidates.
 BITMAP = 1 << 23
 #: Nodes of a block and, of the pairs of two blocks, those that are compared at once.
 BLOCK, AT_ONCE = 2048, 1 << 20
+#: Samples to a band and bands, from one banding of large mixed buckets to the next: at 0.8, two texts share a band with a probability
+#: of 0.9987 and 0.998 (in the first banding, of 0.9982 by either of its two cuts).
+DEEPER = ((8, 36), (12, 90))
 _ROW = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
 
 
@@ -107,7 +115,11 @@ def count_sketch(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["slice", "cells"])
 
-    parts = docs.select(text).mapInArrow(count, "slice int, cells binary").repartition("slice").mapInArrow(add, "slice int, cells binary")
+    # Added up in two steps, so that no task gets a part of the sketch from more than some 256 others.
+    parts = docs.select(text).mapInArrow(count, "slice int, cells binary")
+    group = F.shiftright(F.spark_partition_id(), 8)
+    for keys in ((F.col("slice"), group), (F.col("slice"),)):
+        parts = parts.repartition(*keys).mapInArrow(add, "slice int, cells binary")
     out, n = np.zeros(DEPTH * WIDTH, np.int64), 0
     for k, x in parts.collect():
         v = np.frombuffer(x, np.int64)
@@ -127,7 +139,7 @@ def _add(got: np.ndarray, held: list[np.ndarray]) -> None:
 
 def signatures(docs: DataFrame, sent, text: str, doc_id: str, bands: int, rows: int) -> DataFrame:
     """(id, node, n1, bands, sketch) of each document; n1: the node's first bits, sketch: a byte of each sample."""
-    salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
+    salt = np.arange(1, 2 * bands + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
 
     def work(b: pa.RecordBatch) -> dict:
         seen: dict[bytes, tuple] = {}
@@ -138,11 +150,13 @@ def signatures(docs: DataFrame, sent, text: str, doc_id: str, bands: int, rows:
             if node not in seen:
                 if len(words):
                     terms, w = weighted(words, sent.value)
-                    s = sample(terms, np.log(w), bands * rows).reshape(bands, rows)
+                    s = sample(terms, np.log(w), bands * rows)
+                    # Each sample is in two bands: with its neighbours, and with those at a distance of ``bands``.
+                    s = np.concatenate([s.reshape(bands, rows), s.reshape(rows, bands).T])
                     h = salt.copy()
                     for k in range(rows):
                         h = mix(h * np.uint64(3) + s[:, k])
-                    seen[node] = (h.view(np.int64).tolist(), (s & np.uint64(127)).astype(np.int8).reshape(-1).tolist())
+                    seen[node] = (h.view(np.int64).tolist(), (s[:bands] & np.uint64(127)).astype(np.int8).reshape(-1).tolist())
                 else:
                     seen[node] = ([], [])
             got.append((node, *seen[node]))
@@ -185,7 +199,7 @@ def _bitmap(spark: SparkSession, pairs: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _texts(docs: DataFrame, bits_of: DataFrame, text: str) -> DataFrame:
+def _texts(docs: DataFrame, bits_of: DataFrame, text: str, held: list[str] | None = None) -> DataFrame:
     """(node, raw) of the nodes of ``bits_of`` (na, nb), and of a few others by false hits."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(_bitmap(spark, bits_of))
@@ -207,12 +221,12 @@ def _texts(docs: DataFrame, bits_of: DataFrame, text: str) -> DataFrame:
 
     small_batches(spark)
     # Equal word sequences may differ in their bytes; any of them will do, the least is as good as any.
-    return materialize(docs.select(text).mapInArrow(pick, "node binary, raw binary").groupBy("node").agg(F.min("raw").alias("raw")))
+    return materialize(docs.select(text).mapInArrow(pick, "node binary, raw binary").groupBy("node").agg(F.min("raw").alias("raw")), held)
 
 
-def verify(docs: DataFrame, pairs: DataFrame, sent, text: str, threshold: float, texts: DataFrame | None = None) -> DataFrame:
+def verify(docs: DataFrame, pairs: DataFrame, sent, text: str, threshold: float, texts: DataFrame | None = None, held: list[str] | None = None) -> DataFrame:
     """The (a, b) of ``pairs`` whose texts are at least ``threshold`` alike; ``texts``: (node, raw), if they are at hand."""
-    texts = _texts(docs, pairs, text) if texts is None else texts
+    texts = _texts(docs, pairs, text, held) if texts is None else texts
     n = pairs.count()
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(max(64, n // 20_000))).cast("int"))
     left = salted.join(texts.select(F.col("node").alias("a"), F.col("raw").alias("ta")).hint("shuffle_merge"), "a")
@@ -236,18 +250,24 @@ def verify(docs: DataFrame, pairs: DataFrame, sent, text: str, threshold: float,
     return met.mapInArrow(alike, "a binary, b binary")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every node of ``links``; label: the least node that it is connected with."""
-    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+def components(links: DataFrame, held: list[str] | None = None) -> DataFrame:
+    """(node, label) of every node of ``links``; label: the least node that it is connected with. The steps' files are
+    deleted; those of the result and the edges are added to ``held``."""
+    spark, steps = links.sparkSession, []
+    edges = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), held)
+    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), held)
     while True:
         sent = edges.join(labels.hint("shuffle_merge"), edges.a == labels.node).select(F.col("b").alias("node"), "label", F.lit(None).cast("binary").alias("old"))
         own = labels.select("node", "label", F.col("label").alias("old"))
         low = sent.unionByName(own).groupBy("node").agg(F.min("label").alias("low"), F.max("old").alias("old"))
         hop = labels.select(F.col("node").alias("low"), F.col("label").alias("next"))
-        new = materialize(low.join(hop.hint("shuffle_merge"), "low").select("node", F.least("low", "next").alias("label"), (F.least("low", "next") != F.col("old")).alias("moved")))
+        before, steps = steps, []
+        new = materialize(low.join(hop.hint("shuffle_merge"), "low").select("node", F.least("low", "next").alias("label"), (F.least("low", "next") != F.col("old")).alias("moved")), steps)
+        release(spark, before)
         labels = new.select("node", "label")
         if not new.where("moved").limit(1).count():
+            if held is not None:
+                held.extend(steps)
             return labels
 
 
@@ -258,20 +278,26 @@ def near_duplicates(
     threshold: float = 0.8,
     bands: int = 12,
     rows: int = 4,
-    alpha: float = 0.1,
+    alpha: float = ALPHA,
     small: int = 48,
-    agree: int = 25,
     wide: int = 240,
+    block: int = BLOCK,
 ) -> DataFrame:
     """(doc_id, class_id, representative) of each document; class_id: the least id of its class. Where an id is null or has
     several texts, different classes may bear one name: ``drop_near_duplicates`` tells them apart."""
-    out = _classes(docs, text, doc_id, threshold, bands, rows, alpha, small, agree, wide)
+    out = _classes(docs, text, doc_id, threshold, bands, rows, alpha, small, wide, block)
     return out.select(F.col("_id").alias("doc_id"), "class_id", F.col("_id").eqNullSafe(F.col("class_id")).alias("representative"))
 
 
-def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, bands: int, rows: int, alpha: float, small: int, agree: int, wide: int) -> DataFrame:
+def _least(samples: int, threshold: float) -> int:
+    """Samples that two texts at the threshold agree in, less 3.5 standard deviations."""
+    return int(samples * threshold - 3.5 * (samples * threshold * (1 - threshold)) ** 0.5)
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, bands: int, rows: int, alpha: float, small: int, wide: int, block: int) -> DataFrame:
     """(_id, _k1, _k2, node, label, class_id) of each document; label: the class itself, class_id: its name."""
-    spark = docs.sparkSession
+    spark, held = docs.sparkSession, []
+    keep = lambda df: materialize(df, held)
     sketch, n_docs = count_sketch(docs, text)
     sent = spark.sparkContext.broadcast(Idf(sketch, n_docs, alpha))
     sig = materialize(signatures(docs, sent, text, doc_id, bands, rows))
@@ -280,29 +306,42 @@ def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, bands: i
     info = sig.where(F.size("bands") > 0).drop("_id", "_k1", "_k2").dropDuplicates(["node"])
     flat = info.select("node", F.explode("bands").alias("bucket"))
     sizes = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(flat.join(sizes.hint("shuffle_merge"), "bucket"))
+    shared = keep(flat.join(sizes.hint("shuffle_merge"), "bucket"))
     fame = shared.groupBy("node").agg(F.sum("n").alias("fame")).join(info.drop("bands").hint("shuffle_merge"), "node")
     rank = F.struct((-F.col("fame")).alias("f"), F.xxhash64("node").alias("h"), F.col("node").alias("k"))
-    buckets = materialize(shared.drop("n").join(fame.hint("shuffle_merge"), "node").select("bucket", "node", "n1", "sketch", rank.alias("rank"), F.col("node").alias("label")))
-
-    labels = None
-    pairs = materialize(candidate_pairs(buckets, small, agree))
-    links = materialize(verify(docs, pairs, sent, text, threshold))
-    if links.limit(1).count():
-        labels = components(links)
-    # Larger buckets that still hold several classes: by stricter bands, then all against all.
-    strict = materialize(_stricter(_mixed(buckets, labels, small), bands * rows))
-    if strict.limit(1).count():
-        pairs = materialize(candidate_pairs(strict, small, agree).join(pairs.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"))
-        found = materialize(verify(docs, pairs, sent, text, threshold))
+    buckets = keep(shared.drop("n").join(fame.hint("shuffle_merge"), "node").select("bucket", "node", "n1", "sketch", rank.alias("rank")))
+
+    labels, links, tried, near = None, None, None, None
+    deeper, agree, wide = list(DEEPER), _least(bands * rows, threshold), max(wide, bands * rows)
+
+    def take(pairs: DataFrame, texts: DataFrame | None) -> None:
+        """Verifies the pairs that are new and joins the classes that they link."""
+        nonlocal labels, links, tried
+        low, high = F.least("a", "b"), F.greatest("a", "b")
+        named = pairs.withColumns({"low": low, "high": high})
+        new = keep(named if tried is None else named.join(tried.hint("shuffle_merge"), ["low", "high"], "left_anti"))
+        tried = new.select("low", "high") if tried is None else tried.unionByName(new.select("low", "high"))
+        if not new.limit(1).count():
+            return
+        found = keep(verify(docs, new.select("a", "b", "na", "nb"), sent, text, threshold, texts, held))
         if found.limit(1).count():
-            links = materialize(links.unionByName(found))
-            labels = components(links)
-        left = materialize(_mixed(buckets, labels, small))
-        if left.limit(1).count():
-            found = materialize(_all_against_all(docs, left, sent, text, threshold, agree, bands * rows, max(wide, bands * rows)))
-            if found.limit(1).count():
-                labels = components(links.unionByName(found))
+            links = found if links is None else links.unionByName(found)
+            labels = components(links, held)
+
+    while True:
+        take(candidate_pairs(_labelled(buckets, labels), small, agree), near)
+        mixed = keep(_mixed(buckets, labels, small))
+        if not mixed.limit(1).count():
+            break
+        if near is None:
+            near = _texts(docs, mixed.select(F.col("n1").alias("na"), F.col("n1").alias("nb")), text, held)
+            wider = keep(near.mapInArrow(_widen(sent, wide), "node binary, wide binary"))
+        last = not deeper
+        take(_compared(mixed, wider, block, agree, bands * rows, wide, threshold, last), near)
+        left = keep(_mixed(mixed, labels, block))
+        if last or not left.limit(1).count():
+            break
+        buckets = keep(_banded(left, wider, wide, *deeper.pop(0)))
 
     nodes = sig.groupBy("node").agg(F.min("_id").alias("least"))
     if labels is None:
@@ -311,26 +350,58 @@ def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, bands: i
         tagged = nodes.join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         named = tagged.groupBy("label").agg(F.min("least").alias("class_id"))
         classes = tagged.join(named.hint("shuffle_merge"), "label").select("node", "label", "class_id")
+    classes = materialize(classes)
+    release(spark, held)
     return sig.select("_id", "_k1", "_k2", "node").join(classes.hint("shuffle_merge"), "node")
 
 
-def _stricter(rows: DataFrame, samples: int, bands: int = 20, size: int = 6) -> DataFrame:
-    """The nodes of ``rows`` in buckets of ``size`` samples each, taken from their sketches: at similarity 0.8 two nodes
-    share one of ``bands`` with a probability of 0.998, at 0.5 with 0.27."""
-    rng = np.random.default_rng(1)
-    picks = [sorted(rng.choice(samples, size, replace=False).tolist()) for _ in range(bands)]
-    keys = F.array(*(F.xxhash64(F.lit(k), *(F.get("sketch", F.lit(int(i))) for i in p)) for k, p in enumerate(picks)))
-    nodes = rows.drop("bucket").dropDuplicates(["node"])
-    return nodes.select("node", "n1", "sketch", "rank", "label", F.explode(keys).alias("bucket"))
+def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The rows with their nodes' classes so far."""
+    if labels is None:
+        return buckets.withColumn("label", F.col("node"))
+    return buckets.drop("label").join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame | None, small: int) -> DataFrame:
-    """The rows of buckets of more than ``small`` nodes that are in several classes, with their labels so far."""
-    of = buckets
-    if labels is not None:
-        of = buckets.drop("label").join(labels.hint("shuffle_merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    """The rows of buckets of more than ``small`` nodes that are in several classes, with their labels so far and ``n``."""
+    of = _labelled(buckets.drop("n"), labels)
     mixed = of.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("l"), F.max("label").alias("h")).where((F.col("n") > small) & (F.col("l") != F.col("h")))
-    return of.join(mixed.select("bucket").hint("shuffle_merge"), "bucket")
+    return of.join(mixed.select("bucket", "n").hint("shuffle_merge"), "bucket")
+
+
+def _widen(sent, wide: int):
+    """Makes the function that takes ``wide`` samples of texts, a byte of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for raw in bytes_of(b.column(1)):
+                terms, w = weighted(word_hashes(raw), sent.value)
+                got.append((sample(terms, np.log(w), wide) & np.uint64(127)).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "wide"])
+
+    return run
+
+
+def _banded(rows: DataFrame, wider: DataFrame, wide: int, size: int, bands: int) -> DataFrame:
+    """The nodes of ``rows`` in buckets of ``size`` of the ``wide`` samples each, buckets of one node left out."""
+    rng = np.random.default_rng(size)
+    picks = np.array([np.sort(rng.choice(wide, size, replace=False)) for _ in range(bands)])
+    salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0xE7037ED1A0B428DB)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(-1, wide)
+            h = np.broadcast_to(salt, (len(s), bands)).copy()
+            for k in range(size):
+                h = mix(h * np.uint64(3) + s[:, picks[:, k]])
+            got = pa.ListArray.from_arrays(np.arange(len(s) + 1, dtype=np.int32) * bands, h.view(np.int64).reshape(-1))
+            yield pa.RecordBatch.from_arrays([b.column(0), got], names=["node", "keys"])
+
+    nodes = rows.select("node", "n1", "sketch", "rank").dropDuplicates(["node"])
+    flat = nodes.select("node").join(wider.hint("shuffle_merge"), "node").mapInArrow(keys, "node binary, keys array<long>").select("node", F.explode("keys").alias("bucket"))
+    many = flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    return flat.join(many.hint("shuffle_merge"), "bucket").join(nodes.hint("shuffle_merge"), "node").select("bucket", "node", "n1", "sketch", "rank")
 
 
 def agreeing_pairs(x: np.ndarray, y: np.ndarray, lx: np.ndarray, ly: np.ndarray, first: int, agree: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -352,67 +423,64 @@ def agreeing_pairs(x: np.ndarray, y: np.ndarray, lx: np.ndarray, ly: np.ndarray,
     return tuple(np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def _all_against_all(docs: DataFrame, rows: DataFrame, sent, text: str, threshold: float, agree: int, first: int, wide: int) -> DataFrame:
-    """The links between nodes of different labels that share a bucket of ``rows``."""
-    texts = _texts(docs, rows.select(F.col("n1").alias("na"), F.col("n1").alias("nb")), text)
-    # More than four standard deviations below what two texts at the threshold agree in.
-    least = int(wide * threshold - 4.3 * (wide * threshold * (1 - threshold)) ** 0.5)
-
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = []
-            for raw in bytes_of(b.column(1)):
-                words = word_hashes(raw)
-                terms, w = weighted(words, sent.value)
-                got.append((sample(terms, np.log(w), wide) & np.uint64(127)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["node", "wide"])
-
-    sketches = texts.mapInArrow(widen, "node binary, wide binary")
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
-    own = rows.select("bucket", "node", "n1", "label").join(sizes.hint("shuffle_merge"), "bucket").join(sketches.hint("shuffle_merge"), "node")
-    block = F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int")
-    own = own.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    own = own.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n1", "label", "wide")
+def _compared(mixed: DataFrame, wider: DataFrame, most: int, agree: int, first: int, wide: int, threshold: float, last: bool) -> DataFrame:
+    """The (a, b, na, nb) of different labels that share a bucket of at most ``most`` rows and agree well enough; with ``last``
+    also those of larger buckets, by pairs of blocks. Each pair is given in one of its buckets."""
+    least = _least(wide, threshold)
+    own = mixed if last else mixed.where(F.col("n") <= most)
+    of = own.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("mine"))  # a bucket for each band at most
+    own = own.select("bucket", "n", "node", "n1", "label").join(of.hint("shuffle_merge"), "node").join(wider.hint("shuffle_merge"), "node")
+    own = own.withColumn("g", F.ceil(F.col("n") / most).cast("int")).withColumn("at", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
+    columns = ["bucket", "at", "node", "n1", "label", "mine", "wide"]
+    one = own.where("g = 1").select(F.lit(0).alias("i"), F.lit(0).alias("j"), *columns)
+    if last:
+        more = own.where("g > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        one = one.unionByName(more.select(F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), *columns))
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        bucket, i, j = (k.as_py() for k in key)
         node, n1 = t.column("node").combine_chunks(), t.column("n1").to_numpy()
         label = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)[1]
         s = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(len(node), wide)
-        at = t.column("block").to_numpy()
+        at = t.column("at").to_numpy()
         x, y = np.flatnonzero(at == i), np.flatnonzero(at == j)
         p, q = agreeing_pairs(s[x], s[y], label[x], label[y], first, agree, least)
         p, q = x[p], y[q]
         if i == j:
             p, q = p[p < q], q[p < q]
+        ok = _first_common(t.column("mine").to_pylist(), p, q) == bucket
+        p, q = p[ok], q[ok]
         names = node.to_pylist()
         a, b = [names[k] for k in p.tolist()], [names[k] for k in q.tolist()]
-        # The less node comes first, so that a pair is the same in all buckets.
+        # The less node comes first, so that a pair is the same in all bandings.
         turned = [(u, v, m, n) if u < v else (v, u, n, m) for u, v, m, n in zip(a, b, n1[p].tolist(), n1[q].tolist(), strict=True)]
         kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
         return pa.table([pa.array([r[k] for r in turned], kind) for k, kind in enumerate(kinds)], names=["a", "b", "na", "nb"])
 
-    pairs = materialize(own.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary, na long, nb long").distinct())
-    return verify(docs, pairs, sent, text, threshold, texts)
+    return one.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary, na long, nb long")
 
 
-def drop_near_duplicates(
-    docs: DataFrame,
-    text: str = "text",
-    doc_id: str = "doc_id",
-    threshold: float = 0.8,
-    bands: int = 12,
-    rows: int = 4,
-    alpha: float = 0.1,
-    small: int = 48,
-    agree: int = 25,
-    wide: int = 240,
-) -> DataFrame:
-    """One document of each class: that with the least id (nulls last), then the least node and text."""
-    got = _classes(docs, text, doc_id, threshold, bands, rows, alpha, small, agree, wide)
+def _first_common(lists: list[list[int]], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The least number that the lists p[k] and q[k] share, for each k; they do share one."""
+    most = max(map(len, lists))
+    low = np.iinfo(np.int64).min
+    x = np.array([[*v, *[low] * (most - len(v))] for v in lists], np.int64)
+    out = np.zeros(len(p), np.int64)
+    for k in range(0, len(p), 1 << 13):
+        a, b = x[p[k : k + (1 << 13)]], x[q[k : k + (1 << 13)]]
+        both = ((a[:, :, None] == b[:, None, :]) & (a[:, :, None] != low)).any(2)
+        out[k : k + (1 << 13)] = np.where(both, a, np.iinfo(np.int64).max).min(1)
+    return out
+
+
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, bands: int = 12, rows: int = 4, alpha: float = ALPHA, small: int = 48, wide: int = 240, block: int = BLOCK) -> DataFrame:
+    """One document of each class: that with the least id (nulls last), then the least node and text. Rows with null or
+    equal ids are told apart by their texts; of rows with equal ids and texts one stays. All columns stay as they are."""
+    got = _classes(docs, text, doc_id, threshold, bands, rows, alpha, small, wide, block)
     first = got.groupBy("label").agg(F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "node", "_k1", "_k2")).alias("f"))
-    kept = first.select(F.col("f._id").alias("_kept"), F.col("f._k1").alias("_x1"), F.col("f._k2").alias("_x2"))
-    k1, k2 = _key(text)
-    own = docs.withColumn("_k1", k1).withColumn("_k2", k2)
-    same = F.col(doc_id).eqNullSafe(F.col("_kept")) & (F.col("_k1") == F.col("_x1")) & (F.col("_k2") == F.col("_x2"))
-    return own.join(kept.hint("shuffle_merge"), same, "left_semi").dropDuplicates([doc_id, "_k1", "_k2"]).drop("_k1", "_k2")
+    ids, k1, k2, x1, x2 = fresh(docs, "_kept", "_k1", "_k2", "_x1", "_x2")
+    kept = first.select(F.col("f._id").alias(ids), F.col("f._k1").alias(x1), F.col("f._k2").alias(x2))
+    one, two = _key(text)
+    own = docs.withColumns({k1: one, k2: two})
+    same = own[doc_id].eqNullSafe(kept[ids]) & (own[k1] == kept[x1]) & (own[k2] == kept[x2])
+    return own.join(kept.hint("shuffle_merge"), same, "left_semi").dropDuplicates([doc_id, k1, k2]).drop(k1, k2)

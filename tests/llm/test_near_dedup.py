@@ -81,8 +81,44 @@ def test_pairs_within_a_templated_family(spark):
                 words[at] = "".join(rng.choice("klmnop") for _ in range(5))
             rows.append(" ".join(words + own))
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.class_id for r in near_duplicates(df, small=5).collect()}
-    assert got == {i: i - i % 2 for i in range(400)}
+    # Whole buckets are compared; or, with blocks of 24 nodes, larger buckets are banded anew, and the last are compared by blocks.
+    for block in (2048, 24):
+        got = {r.doc_id: r.class_id for r in near_duplicates(df, small=5, alpha=0.1, block=block).collect()}
+        assert got == {i: i - i % 2 for i in range(400)}
+
+
+def test_recall_in_a_large_group(spark):
+    # 300 copies of one text with up to 40 of 200 words changed: links by brute force, on the very weights.
+    rng = random.Random(11)
+    base = _text(rng, 200)
+    rows = [_edit(rng, base, rng.randrange(0, 40)) for _ in range(300)] + [_text(rng, 200) for _ in range(100)]
+    sure, loose = _truth(rows, 0.83), _truth(rows, 0.77)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.class_id for r in near_duplicates(df).collect()}
+    pairs = [(i, j) for i in range(400) for j in range(i)]
+    assert all(got[i] == got[j] for i, j in pairs if sure[i] == sure[j])
+    assert all(loose[i] == loose[j] for i, j in pairs if got[i] == got[j])
+
+
+def test_columns_with_clashing_names(spark):
+    rows = [(1, "a b c", 7, "p"), (2, "a b c", 8, "q"), (None, "x", 9, "r"), (3, None, 1, "s"), (4, "", 2, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _kept int, _k1 string")
+    kept = drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(tuple(r)[2:] for r in kept.collect()) == [(1, "s"), (7, "p"), (9, "r")]
+
+
+def test_materialized_files_go(spark):
+    from gazeframe.llm.common import materialize, release
+
+    held = []
+    df = materialize(spark.range(5), held)
+    assert df.count() == 5 and len(held) == 1
+    path = held[0].removeprefix("file:")
+    release(spark, held)
+    import os
+
+    assert not os.path.exists(path) and not held
 
 
 def test_agreeing_pairs():
