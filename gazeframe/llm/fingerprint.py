@@ -6,31 +6,34 @@ share of equal samples of two fingerprints estimates the generalised Jaccard sim
 (standard error at most 0.5 / sqrt(samples)).
 
 The edited text, and the order. A document's next is the one of the next lower id (null ids last); after the last comes
-the first; equal ids follow each other by their texts' hash, then text. The edited text has the last floor(n / 3) code points
+the first; equal ids follow each other by their texts' hash, highest first. The edited text has the last floor(n / 3) code points
 replaced by the next document's first as many, or all.
 
-Scale. Ids are cut into ranges at approximate quantiles, about ``rows_per_range`` rows each. Rows move once, to their
-range; the first row of the next lower range is copied to the range's end (found by one aggregate: a row for each range).
-Each task then reads its ranges in order and keeps one document in hand.
+Scale. Rows are cut into ranges of (id, hash of the text), about ``rows_per_range`` rows or, in large tables, ``range_chars``
+characters each: a range partitioning of these keys alone gives the highest key of each range. Rows move once, to their range;
+those of a range's highest key are copied to the end of the next higher range, whose last row needs them. Each task then reads
+its ranges in order (Spark's sort spills) and keeps one document in hand. The keys of the ranges are all that the driver sees.
 
 Defined cases: a null text is empty. An empty text's fingerprint is all zeros; two empty texts are alike. In a table of
-one row that row is its own next. Repeated rows follow each other. An empty table gives an empty result. Input columns
-named like an output column are replaced. Ids are meant to be unique; rows of equal ids stay in one range.
+one row that row is its own next. Repeated rows follow each other and stay in one range. Ids may be of any type that
+Spark orders; null and equal ids are spread over ranges by their texts. An empty table gives an empty result. Input columns named like an output
+column are replaced; other names don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from gazeframe.llm.common import LOWER, mix, small_batches, without, word_hashes
+from gazeframe.llm.common import LOWER, fresh, mix, small_batches, without, word_hashes
 from gazeframe.llm.cws import values, variates
 
 #: Numbers of occurrences up to this have tabled values within a batch.
@@ -116,41 +119,26 @@ def _fingerprints(sampler: Sampler, texts: list[bytes]) -> list[np.ndarray]:
 _ADDED = [("n_chars", "long"), ("edited_sha256", "string"), ("fingerprint", "string"), ("edited_fingerprint", "string"), ("near_edited", "double"), ("near_next", "double")]
 
 
-def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", samples: int = 64, rows_per_range: int = 1000, most_ranges: int = 4096) -> DataFrame:
+def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", samples: int = 64, rows_per_range: int = 1000, range_chars: int = 1 << 28) -> DataFrame:
     """``docs`` with its columns but the text, and ``n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    base = without(docs, *(n for n, _ in _ADDED), "_range", "_halo", "_order")
-    n = base.select(F.lit(1)).count()
-    ranges = max(1, min(most_ranges, n // rows_per_range))
-    key = F.col(doc_id)
-    cuts = []
-    if ranges > 1:
-        got = base.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
-        cuts = sorted(set(got or []))
-    # Range 0 holds null ids, range k the ids from the (k - 1)-th cut on.
-    at = F.when(key.isNull(), F.lit(0)).otherwise(F.lit(1) + _place(key, cuts))
-    rows = base.withColumn("_range", at).withColumn("_order", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    tops = [(r[0], r[1]) for r in rows.groupBy("_range").agg(F.max(key)).orderBy("_range").collect()]
-    below = {r: tops[k - 1] if k else tops[-1] for k, (r, _) in enumerate(tops)}
-    # The rows that a range's end needs: those of the highest id of the range below it.
-    wanted: dict = {}
-    for r, (_, top) in below.items():
-        wanted.setdefault(top, []).append(r)
-    halo = F.lit(None).cast("array<int>")
-    if wanted:
-        ids, goals = list(wanted), [wanted[x] for x in wanted]
-        named = [(x, g) for x, g in zip(ids, goals, strict=True) if x is not None]
-        if named:
-            table = spark.createDataFrame([(x, g) for x, g in named], T.StructType([T.StructField("_top", base.schema[doc_id].dataType), T.StructField("_goals", T.ArrayType(T.IntegerType()))]))
-            rows = rows.join(F.broadcast(table), key == F.col("_top"), "left").drop("_top")  # a row for each range at most
-            halo = F.col("_goals")
-        if None in wanted:
-            halo = F.when(key.isNull(), F.array(*(F.lit(g) for g in wanted[None])).cast("array<int>")).otherwise(halo)
-    places = F.concat(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("h"))), F.transform(F.coalesce(halo, F.array().cast("array<int>")), lambda r: F.struct(r.alias("r"), F.lit(1).alias("h"))))
+    small_batches(docs.sparkSession)
+    base = without(docs, *(n for n, _ in _ADDED))
+    body, order, where, last, place = fresh(base, "_text", "_order", "_range", "_halo", "_place")
     kept = [c for c in base.columns if c != text]
-    moved = rows.select(*kept, F.coalesce(F.col(text), F.lit("")).alias("_text"), "_order", F.explode(places).alias("_p")).select(*kept, "_text", "_order", F.col("_p.r").alias("_range"), F.col("_p.h").alias("_halo"))
-    ordered = moved.repartition("_range").sortWithinPartitions("_range", "_halo", F.col(doc_id).desc_nulls_last(), "_order", "_text")
+    own = F.coalesce(F.col(text), F.lit(""))
+    rows = base.select(*(F.col(f"`{c}`") for c in kept), own.alias(body), F.xxhash64(own).alias(order))
+    n, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(body)), F.lit(0))).first()
+    # Many small ranges for few rows; beyond that, ranges of bounded size.
+    ranges = max(1, min(4096, n // rows_per_range), chars // range_chars)
+    keys = rows.select(F.col(doc_id).alias("i"), F.col(order).alias("h")).repartitionByRange(ranges, "i", "h").select(F.spark_partition_id().alias("p"), F.struct("i", "h").alias("k"))
+    tops = sorted((r[0], r[1]["i"], r[1]["h"]) for r in keys.groupBy("p").agg(F.max("k")).collect()) if n else []
+    kind = base.schema[doc_id].dataType
+    at, top = _place(F.struct(F.col(doc_id).alias("i"), F.col(order).alias("h")), [F.struct(F.lit(i).cast(kind).alias("i"), F.lit(h).cast("long").alias("h")) for _, i, h in tops])
+    # A row goes to its range; one with its range's highest key also to the end of the next range, after the last to the first.
+    spot = lambda r, h: F.struct(r.alias("r"), F.lit(h).alias("h"))
+    spots = F.when(top, F.array(spot(at, 0), spot(F.pmod(at + 1, F.lit(max(1, len(tops)))), 1))).otherwise(F.array(spot(at, 0)))
+    moved = rows.withColumn(place, F.explode(spots)).select(*(f"`{c}`" for c in kept), body, order, F.col(place)["r"].alias(where), F.col(place)["h"].alias(last))
+    ordered = moved.repartition(where).sortWithinPartitions(where, last, F.col(doc_id).desc_nulls_last(), F.col(order).desc(), body)
 
     schema = T.StructType([*(base.schema[c] for c in kept), *(T.StructField(c, T._parse_datatype_string(k)) for c, k in _ADDED)])
     arrow = to_arrow_schema(schema)
@@ -161,10 +149,10 @@ def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sam
         for b in batches:
             if not b.num_rows:
                 continue
-            texts = b.column("_text").to_pylist()
-            where, halos = b.column("_range").to_pylist(), b.column("_halo").to_pylist()
+            texts = b.column(body).to_pylist()
+            spots, halos = b.column(where).to_pylist(), b.column(last).to_pylist()
             signs = _fingerprints(sampler, [t.encode() for t in texts])
-            seq = [(None, t, s, r, h) for t, s, r, h in zip(texts, signs, where, halos, strict=True)]
+            seq = [(None, t, s, r, h) for t, s, r, h in zip(texts, signs, spots, halos, strict=True)]
             cols = pa.RecordBatch.from_arrays([b.column(c) for c in kept], names=kept)
             if carry is not None:
                 seq, cols = [carry[1], *seq], pa.concat_batches([carry[0], cols]) if hasattr(pa, "concat_batches") else pa.Table.from_batches([carry[0], cols]).combine_chunks().to_batches()[0]
@@ -187,13 +175,15 @@ def fingerprint(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sam
     return ordered.mapInArrow(run, schema)
 
 
-def _place(key, cuts: list):
-    """How many cuts are at or below the key: a binary search by nested conditions."""
-
-    def go(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(key < F.lit(cuts[mid]), go(low, mid)).otherwise(go(mid + 1, high))
-
-    return go(0, len(cuts))
+def _place(key: Column, tops: list[Column]) -> tuple[Column, Column]:
+    """The place of the first of the ascending ``tops`` that is at or above the key, and whether it equals the key: the block
+    of tops is found first, then the top within it."""
+    if not tops:
+        return F.lit(0), F.lit(False)
+    size = math.isqrt(len(tops) - 1) + 1
+    blocks = [tops[i : i + size] for i in range(0, len(tops), size)]
+    below = lambda of: F.size(F.filter(of, lambda t: t < key))
+    block = below(F.array(*(b[-1] for b in blocks)))
+    inner = F.get(F.array(*(F.array(*b) for b in blocks)), block)
+    within = below(inner)
+    return block * size + within, F.get(inner, within) == key

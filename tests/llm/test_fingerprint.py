@@ -50,3 +50,30 @@ def test_one_and_no_row(spark):
     r = fingerprint(df).collect()[0]
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"abc dab").hexdigest()
     assert fingerprint(df.limit(0)).count() == 0
+
+
+def test_ids_of_any_type(spark):
+    import datetime
+
+    texts = [f"word{i % 7} is the number {i} of these" for i in range(60)] + [None, "", "one", "one"]
+    day = datetime.date(2024, 1, 1)
+    kinds = {"string": lambda i: f"{'ä' if i % 3 else 'Z'}{i}", "date": lambda i: day + datetime.timedelta(i), "double": lambda i: i / 4, "long": lambda i: i}
+    for kind, of in kinds.items():
+        rows = [(None if i % 10 == 3 else of(i), t) for i, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+        # Nulls last; within them the order is by hash, so only rows with ids are compared.
+        order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0].encode() if kind == "string" else r[0], reverse=True)
+        for per in (7, 10_000):
+            got = fingerprint(df, rows_per_range=per).collect()
+            assert len(got) == len(rows)
+            by = {r.doc_id: r for r in got if r.doc_id is not None}
+            for (i, t), (_, after) in zip(order, order[1:], strict=False):
+                assert by[i].edited_sha256 == hashlib.sha256(edit(t or "", after or "").encode()).hexdigest(), (kind, per, i)
+
+
+def test_equal_ids_and_clashing_names(spark):
+    # All ids are null or equal: the ring is the order of the texts' hashes, the same for any ranges.
+    rows = [(None, f"text {i}", "a", i) for i in range(40)] + [(5, f"row {i % 30}", "b", i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _range string, _order int").repartition(3)
+    got = [sorted((r["_order"], r["_range"], r.edited_sha256, r.fingerprint) for r in fingerprint(df, rows_per_range=per).collect()) for per in (5, 10_000)]
+    assert got[0] == got[1] and len(got[0]) == 80 and {r[1] for r in got[0]} == {"a", "b"}
