@@ -7,13 +7,16 @@ document again, and the last, partial epoch takes the documents before the cut,
 Targets. The mix holds ``share`` of all words. Sources in code point order (null last) have the given weights in turn;
 a target above ``most`` times its source stops there and the excess is shared out anew by weight.
 
-Scale. The key is the MD5 of the document's id: its first hex digits split a source into buckets, so that a source with a
-third of all rows is spread over ``16 ** digits`` tasks. A bucket's sum is added up before any row moves; the buckets'
-running sums (a bounded number for each source) become offsets, and each bucket then has its own running sum. Words are
-counted in the scan; a text moves with its row only if the caller's columns hold it.
-
-Defined cases: a null or blank text has size 0 and takes 0. A null source is a source of its own. Equal ids are ordered
-by size, so a rerun gives the same rows. With no words at all every target is 0. Input columns named like an output
+Scale. The key is the MD5 of the document's id (without one, of its text's): its first hex digits split a source into
+buckets, so that a source with a third of all rows is spread over ``16 ** digits`` tasks. A bucket's sum is added up before any row moves.
+The running sums of the buckets are taken in two levels, coarse buckets of half the digits and buckets within them, so
+that no task sees more than about the square root of a source's buckets; they become offsets, and each bucket then has its own
+running sum. With ``keep_text=False`` words are counted once and the short rows are written to the shared folder; else texts move with
+their rows, and words are counted again where rows move rather than writing texts twice. Sources are ranked in one
+window: a row of three numbers for each.
+
+Defined cases: a null or blank text has size 0 and takes 0. A null source is a source of its own. Null ids are ordered by
+their texts' MD5, equal ids by size, so a rerun gives the same rows. With no words at all every target is 0. Input columns named like an output
 column are replaced.
 """
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import without
+from gazeframe.llm.common import fresh, materialize, without
 
 #: Words: maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,29 +75,35 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     per_bucket: int = 3_000,
+    keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` with its columns and ``size, source_size, target, taken`` (words that the mix takes, repeats counted)."""
+    """``docs`` with its columns (the text, if ``keep_text``) and ``size, source_size, target, taken`` (words that the mix takes, repeats counted)."""
     base = without(docs, "size", "source_size", "target", "taken")
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
-    rows = base.withColumn("size", count_words(F.col(text))).withColumn("_key", key)
-    rows = rows.withColumn("_src", F.col(source).cast("string"))
-    digits = bucket_digits(base.select(F.lit(1)).count(), per_bucket)
-    rows = rows.withColumn("_bucket", F.substring("_key", 1, digits))
-
-    sums = rows.groupBy("_src", "_bucket").agg(F.sum("size").alias("_sum"))
-    targets = source_targets(sums.select(F.col("_src").alias("source"), F.col("_sum").alias("size")), weights, share, most)
-    before = Window.partitionBy("_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
-    starts = starts.join(targets.withColumnRenamed("source", "_s2"), F.col("_src").eqNullSafe(F.col("_s2"))).select(
-        F.col("_src").alias("_s"), F.col("_bucket").alias("_b"), "_start", "source_size", "target"
-    )
-
-    got = rows.join(starts.hint("shuffle_merge"), (F.coalesce("_src", F.lit("")) == F.coalesce("_s", F.lit(""))) & (F.col("_src").isNull() == F.col("_s").isNull()) & (F.col("_bucket") == F.col("_b")))
-    upto = Window.partitionBy("_src", "_bucket").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("_start") + F.coalesce(F.sum("size").over(upto), F.lit(0))
+    key, src, bucket, coarse, start, s2, k2 = fresh(base, "_key", "_src", "_bucket", "_coarse", "_start", "_src2", "_bucket2")
+    own = F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("n"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+    # A name that is never null: nulls are a group of their own.
+    group = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n"))
+    rows = base.withColumns({"size": count_words(F.col(text)), key: F.md5(own.cast("binary")), src: group})
+    kept = [c for c in base.columns if keep_text or c != text]
+    if not keep_text:
+        rows = materialize(rows.drop(text))
+    digits = bucket_digits(rows.select(F.lit(1)).count(), per_bucket)
+    rows = rows.withColumn(bucket, F.substring(key, 1, digits))
+
+    sums = rows.groupBy(src, bucket).agg(F.sum("size").alias("sum")).withColumn(coarse, F.substring(bucket, 1, digits // 2))
+    above = sums.groupBy(src, coarse).agg(F.sum("sum").alias("all"))
+    before = lambda order, *of: Window.partitionBy(*of).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    above = above.withColumn("from", F.coalesce(F.sum("all").over(before(coarse, src)), F.lit(0)))
+    starts = sums.withColumn("within", F.coalesce(F.sum("sum").over(before(bucket, src, coarse)), F.lit(0))).join(above, [src, coarse])
+    targets = source_targets(above.select(F.when(F.col(src) != "n", F.expr(f"substring({src}, 2)")).alias("source"), F.col("all").alias("size")), weights, share, most)
+    named = targets.withColumn(s2, F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    starts = starts.join(named, F.col(src) == F.col(s2)).select(F.col(src).alias(s2), F.col(bucket).alias(k2), (F.col("from") + F.col("within")).alias(start), "source_size", "target")
+
+    got = rows.join(starts.hint("shuffle_merge"), (F.col(src) == F.col(s2)) & (F.col(bucket) == F.col(k2)))
+    at = F.col(start) + F.coalesce(F.sum("size").over(Window.partitionBy(src, bucket).orderBy(key, "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     budget = F.floor(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     left = budget - epochs * F.col("source_size")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), left - at))
     out = got.withColumn("taken", taken.cast("long"))
-    return out.select(*base.columns, "size", "source_size", "target", "taken")
+    return out.select(*(f"`{c}`" for c in kept), "size", "source_size", "target", "taken")
