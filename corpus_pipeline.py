@@ -1,15 +1,20 @@
 """The corpus pipeline: five stages over ``documents``, each written as Parquet before the next reads it.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the one before kept. All but the last return the columns of
-``documents``; the last adds ``size, source_size, target, taken`` and keeps the documents that the mix takes words of.
+``documents`` as they are; the last adds ``size, source_size, target, taken`` and keeps the documents that the mix takes words of.
+
+Defined cases, for every stage: a null text is an empty one. An empty table gives an empty result. Rows are judged by their
+texts, so repeated rows and ties are judged alike; only near_dedup leaves one of them. Null and repeated ids are rows like others (a row of a
+null id has no label). Very long texts are read whole. Columns besides ``doc_id, text, lang, source`` are carried along untouched, whatever
+their names; only the last stage's four columns replace columns of these names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gazeframe.llm.common import crc_mod, materialize
+from gazeframe.llm.common import crc_mod, fresh, materialize
 from gazeframe.llm.decontaminate import decontaminate
 from gazeframe.llm.language_id import identify
 from gazeframe.llm.language_id import train as train_language
@@ -18,37 +23,55 @@ from gazeframe.llm.near_dedup import drop_near_duplicates
 from gazeframe.llm.toxicity import score_toxicity
 from gazeframe.llm.toxicity import train as train_toxicity
 
-#: A document goes if no language is at least this probable on the mean of its letters.
-LEAST_LANGUAGE = 0.3
+#: Languages to keep; None: all that the training rows have.
+LANGUAGES: tuple[str, ...] | None = None
+#: The probability, on the mean of its letters, that a document's language must have at least.
+LEAST_LANGUAGE = 0.5
+#: Consecutive words of a benchmark item; a document that holds so many in a row goes, however long it is.
+WINDOW = 13
 
 #: SQL has no recurrent networks, nearest neighbours or suffix arrays; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
+_ADDED = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "_spans", "_items")
+
+
+def _aside(docs: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns called like ``names`` renamed, and the columns that undo that."""
+    clash = [c for c in docs.columns if c.lower() in names]
+    new = dict(zip(clash, fresh(docs, *(f"{c}_" for c in clash)), strict=True))
+    return docs.withColumnsRenamed(new), [F.col(f"`{new.get(c, c)}`").alias(c) for c in docs.columns]
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters or in no known language."""
-    model = train_language(docs, crc_mod("doc_id", 3) != 1)
-    got = identify(docs, model, out=("_lang", "_lang_score"))
-    return got.where((F.col("_lang") != "und") & (F.col("_lang_score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    """Drops documents without letters (``und``), those predicted in another language than ``LANGUAGES``, and those whose
+    language is less probable than ``LEAST_LANGUAGE`` (mixtures, or none of the learnt ones). Without any learnt language, all go."""
+    lang, score = fresh(docs, "_lang", "_lang_score")
+    got = identify(docs, train_language(docs, crc_mod("doc_id", 3) != 1), out=(lang, score))
+    wanted = F.col(lang) != "und" if LANGUAGES is None else F.col(lang).isin(*LANGUAGES)
+    return got.where(wanted & (F.col(score) >= LEAST_LANGUAGE)).select(*(f"`{c}`" for c in docs.columns))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that are predicted toxic."""
+    """Drops documents that are predicted toxic; without any label, none."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    model = train_toxicity(docs, labels, crc_mod("doc_id", 4) != 2)
-    got = score_toxicity(docs, model, out=("_score", "_toxic", "_evidence"))
-    return got.where("_toxic = 0").select(*docs.columns)
+    out = fresh(docs, "_score", "_toxic", "_evidence")
+    got = score_toxicity(docs, train_toxicity(docs, labels, crc_mod("doc_id", 4) != 2), out=tuple(out))
+    return got.where(F.col(out[1]) == 0).select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near-duplicates."""
+    """Keeps one document of each class of near-duplicates: the one of the least id, null ids last."""
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more is benchmark passages."""
+    """Drops documents that hold ``WINDOW`` words of a benchmark item in a row, or of which a twentieth or more is passages of
+    benchmark items (short items have less than a window)."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontaminate(docs, benchmark).where(~F.col("contaminated")).select(*docs.columns)
+    own, back = _aside(docs, _ADDED)
+    got = decontaminate(own, benchmark, window=WINDOW)
+    return got.where(~(F.col("contaminated") | F.exists("spans", lambda x: x["end"] - x["start"] >= WINDOW))).select(*back)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
