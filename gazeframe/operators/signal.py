@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gazeframe.frame import RECORDING, GazeFrame, ordered, relative_time, within
-from gazeframe.functions.numeric import ms_to_samples
+from gazeframe.functions.numeric import hermite, ms_to_samples
 from gazeframe.operators.detect import velocity
 from gazeframe.operators.runs import with_runs
 
@@ -84,37 +84,30 @@ def interpolate_blinks(gf: GazeFrame, margin_ms: float = 50, method: str = "line
 
 
 def cubic_bridge(pa: np.ndarray, blink: np.ndarray, margin: int) -> np.ndarray:
-    """W16's cubic on one recording, blink after blink: a slope may see what was filled before."""
-    out, n = pa.astype(float).copy(), len(pa)
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], blink.astype(np.int8), [0]])))
-    spans: list[list[int]] = []
-    for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        lo, hi = max(0, s - margin), min(n - 1, e - 1 + margin)
-        if spans and lo <= spans[-1][1] + 1:
-            spans[-1][1] = hi
-        else:
-            spans.append([lo, hi])
-
-    def slope(i: int, step: int) -> float:
-        j = i + step
-        while 0 <= j < n:
-            if not np.isnan(out[j]):
-                return (out[j] - out[i]) / (j - i)
-            j += step
-        return 0.0
-
-    for lo, hi in spans:
-        a = out[lo - 1] if lo else np.nan
-        b = out[hi + 1] if hi < n - 1 else np.nan
-        size = hi - lo + 1
-        if not np.isnan(a) and not np.isnan(b):
-            m0, m1 = slope(lo - 1, -1) * size, slope(hi + 1, 1) * size
-            t = np.arange(size) / max(size - 1, 1)
-            out[lo : hi + 1] = (2 * t**3 - 3 * t**2 + 1) * a + (t**3 - 2 * t**2 + t) * m0 + (-2 * t**3 + 3 * t**2) * b + (t**3 - t**2) * m1
-        elif not np.isnan(a):
-            out[lo : hi + 1] = a
-        elif not np.isnan(b):
-            out[lo : hi + 1] = b
+    """W16's cubic on one recording. Rows within the margin of a blink form runs; a run is bridged between the rows beside it, with the
+    slopes to the nearest valid rows beyond them. On the left, rows that an earlier run filled count as valid."""
+    n, at = len(pa), np.arange(len(pa))
+    upto = np.concatenate([[0], np.cumsum(blink)])
+    wide = upto[np.minimum(at + margin + 1, n)] > upto[np.maximum(at - margin, 0)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], wide.astype(np.int8), [0]])))
+    first, after = edges[::2], edges[1::2]
+    beside = np.concatenate([[np.nan], pa, [np.nan]])
+    left, right = beside[first], beside[after + 1]
+    valid = ~np.isnan(pa)
+    filled = valid.copy()
+    filled[wide] |= np.repeat(~(np.isnan(left) & np.isnan(right)), after - first)
+    back = np.maximum.accumulate(np.where(filled, at, -1))
+    ahead = np.minimum.accumulate(np.where(valid, at, n)[::-1])[::-1]
+    out = pa.astype(float).copy()
+    for lo, hi, a, b in zip(first.tolist(), after.tolist(), left.tolist(), right.tolist(), strict=True):
+        size = hi - lo
+        if not (np.isnan(a) or np.isnan(b)):
+            k, j = back[lo - 2] if lo > 1 else -1, ahead[hi + 1] if hi + 1 < n else n
+            m0 = size * (a - out[k]) / (lo - 1 - k) if k >= 0 else 0.0
+            m1 = size * (out[j] - b) / (j - hi) if j < n else 0.0
+            out[lo:hi] = hermite(np.arange(size) / max(size - 1, 1), a, b, m0, m1)
+        elif not (np.isnan(a) and np.isnan(b)):
+            out[lo:hi] = b if np.isnan(a) else a
     return out
 
 
