@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,18 +51,58 @@ def recording_name(path="_metadata.file_path"):
     return F.regexp_replace(base, r"\.[^.]*$", "")
 
 
+def recording_ids(paths: Sequence[str]) -> list[str]:
+    """A name for each path: the file's, with its number among the files of that name if there are several (rec#1, rec#2)."""
+    names = [_base(p) for p in paths]
+    many, seen, out = Counter(names), Counter(), []
+    for n in names:
+        seen[n] += 1
+        out.append(f"{n}#{seen[n]}" if many[n] > 1 else n)
+    return out
+
+
+def _base(path: str) -> str:
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    return name.rsplit(".", 1)[0] if "." in name else name
+
+
+def _plain(path: str) -> str:
+    return re.sub("^file:/+", "file:/", unquote(path))
+
+
+def keyed(files: DataFrame, path: str, paths: Sequence[str]) -> DataFrame:
+    """Adds recording_id, one for each file that was read: its name, or its numbered name where names repeat. A file that is given
+    several times is as many recordings."""
+    spark = files.sparkSession
+    found = {_plain(f) for f in files.inputFiles()}
+    qualify = lambda p: (w := spark._jvm.org.apache.hadoop.fs.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(w).toString()
+    given = [q for p in paths if (q := _plain(qualify(p))) in found]
+    order = given + sorted(found - set(given))
+    ids = recording_ids(order)
+    if len(set(map(_base, order))) == len(order):
+        return files.withColumn("recording_id", recording_name(path))
+    by: dict[str, list[str]] = {}
+    for p, i in zip(order, ids, strict=True):
+        by.setdefault(p, []).append(i)
+    table = F.create_map(*(x for p, own in by.items() for x in (F.lit(p), F.array(*map(F.lit, own)))))
+    plain = F.regexp_replace(F.url_decode(F.regexp_replace(F.col(path), r"\+", "%2B")), "^file:/+", "file:/")
+    return files.withColumn("recording_id", F.explode(F.element_at(table, plain)))
+
+
 def lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(recording_id, n, line) of text files. A file is read by one task, so that its lines keep their order; many files
     are read by many tasks."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    text = spark.read.text(paths, wholetext=True).select(recording_name().alias("recording_id"), "value")
+    files = spark.read.text(list(dict.fromkeys(paths)), wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
+    text = keyed(files, "_path", paths)
     return text.select("recording_id", F.posexplode(F.split("value", "\n", -1)).alias("n", "line")).select("recording_id", F.col("n").cast("long").alias("n"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
 def contents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(recording_id, content) of binary files."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.format("binaryFile").load(paths).select(recording_name("path").alias("recording_id"), "content")
+    files = spark.read.format("binaryFile").load(list(dict.fromkeys(paths))).select("path", "content")
+    return keyed(files, "path", paths).select("recording_id", "content")
 
 
 def read_stimuli(spark: SparkSession, directory: str, extensions: Sequence[str] = ("png", "jpg", "jpeg", "bmp", "gif", "wav")) -> DataFrame:

@@ -14,7 +14,7 @@ from gazeframe.functions.numeric import nan_to_null
 from gazeframe.operators.annotate import RawRecording, annotate
 from gazeframe.sources.eyelink_binary import read_eyelink_binary
 from gazeframe.sources.eyelink_text import read_eyelink_text, write_eyelink_text
-from gazeframe.sources.files import FORMATS, READERS, detect_format, extension, list_files
+from gazeframe.sources.files import FORMATS, READERS, detect_format, extension, list_files, recording_ids
 from gazeframe.sources.smi import read_smi_binary, read_smi_text, write_smi_text
 from gazeframe.sources.tobii import read_tobii
 
@@ -44,17 +44,19 @@ def from_raw(raw: RawRecording | GazeFrame, **options) -> GazeFrame:
 
 
 def read_files(spark: SparkSession, paths: Sequence[str], participant_labels: Sequence[str] | None = None, **options) -> GazeFrame:
-    """Many files of one format in one scan. ``participant`` is the file's name, or the label given for it."""
+    """Many files of one format in one scan. ``participant`` is the file's name, or the label given for it; files of equal
+    names, and a file that is given twice, are recordings of their own."""
     if not paths:
         raise ValueError("no files to read")
     kinds = {detect_format(p) for p in paths}
     if len(kinds) > 1:
         raise ValueError(f"files of several formats: {sorted(kinds)}")
     gf = _read(spark, list(paths), kinds.pop(), **options)
+    ids, names = recording_ids(paths), [recording_ids([p])[0] for p in paths]
     label = F.col("recording_id")
-    if participant_labels is not None:
-        names = [p.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0] for p in paths]
-        label = F.element_at(F.create_map(*(F.lit(x) for pair in zip(names, participant_labels, strict=True) for x in pair)), F.col("recording_id"))
+    if participant_labels is not None or ids != names:
+        labels = names if participant_labels is None else participant_labels
+        label = F.element_at(F.create_map(*(F.lit(x) for pair in zip(ids, labels, strict=True) for x in pair)), F.col("recording_id"))
     return gf.with_df(gf.df.withColumn("participant", label))
 
 

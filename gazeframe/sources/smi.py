@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,11 @@ _SAMPLES = "recording_id string, sample_idx long, time double, trial long, parti
 
 def _header(first: DataFrame) -> tuple[dict[str, list[str]], list[str], str]:
     """The header of the first recording: values by key, columns, and the recording's name. A few dozen lines."""
-    top = first.where(F.startswith(F.trim("line"), F.lit("##")) | (F.split("line", "\t")[0] == "Time")).orderBy("recording_id", "n").limit(200).collect()
+    heads = first.where(F.startswith(F.trim("line"), F.lit("##")) | (F.split("line", "\t")[0] == "Time"))
+    top = heads.groupBy("recording_id").agg(F.sort_array(F.collect_list(F.struct("n", "line"))).alias("own")).orderBy("recording_id").limit(1).collect()  # a header's lines
     if not top:
         raise ValueError("no header: not an SMI text export")
-    own = [r for r in top if r["recording_id"] == top[0]["recording_id"]]
+    own = top[0]["own"]
     values = {}
     for r in own:
         t = r["line"].strip()
@@ -39,9 +41,10 @@ def read_smi_text(spark: SparkSession, paths: str | Sequence[str]) -> GazeFrame:
     are missing; times in ms; a trigger is a message. Geometry comes from the header, 30 cm and 50 cm without it."""
     text = lines(spark, paths)
     head, _, _ = _header(text)
-    # Columns lie where the recording's own header has them; geometry and rate are the first recording's.
+    # Columns and subject are those of the recording's own header; geometry and rate are the first recording's.
     own = text.where(F.startswith("line", F.lit("Time\t"))).groupBy("recording_id").agg(F.min_by("line", "n").alias("names"))
-    own = own.select("recording_id", F.transform(F.split("names", "\t"), lambda c: F.trim(F.regexp_replace(c, r"[\r\n]", ""))).alias("names"))
+    subjects = text.where(F.ltrim("line").rlike("^#+ *Subject:")).groupBy("recording_id").agg(F.min_by(F.trim(F.regexp_extract("line", r"Subject:\s*(.*)$", 1)), "n").alias("subject"))
+    own = own.join(subjects, "recording_id", "left").select("recording_id", F.coalesce("subject", F.lit("")).alias("subject"), F.transform(F.split("names", "\t"), lambda c: F.trim(F.regexp_replace(c, r"[\r\n]", ""))).alias("names"))
     last = lambda k, default: (head.get(k) or [default])[-1]
     p = F.split(F.trim("line"), "\t", -1)
     field = lambda c: F.trim(F.get(F.col("p"), (F.array_position("names", c) - 1).cast("int")))
@@ -57,9 +60,8 @@ def read_smi_text(spark: SparkSession, paths: str | Sequence[str]) -> GazeFrame:
         pa = (dx + F.coalesce(dy, dx)) / 2.0
         out |= {f"gx{e}": zero(gx, gy, gx), f"gy{e}": zero(gx, gy, gy), f"pa{e}": F.when(pa != 0, pa), f"pupx{e}": zero(rx, ry, rx), f"pupy{e}": zero(rx, ry, ry)}
     trigger = F.coalesce(field("Trigger"), F.lit("0"))
-    subject = last("Subject", "")
     d = d.select(
-        "recording_id", F.col("n").alias("sample_idx"), (num("Time") / 1000.0).alias("time"), field("Trial").try_cast("long").alias("trial"), F.lit(subject).alias("participant"),
+        "recording_id", F.col("n").alias("sample_idx"), (num("Time") / 1000.0).alias("time"), field("Trial").try_cast("long").alias("trial"), F.col("subject").alias("participant"),
         *(out[c].alias(c) for c in ("gxL", "gyL", "paL", "gxR", "gyR", "paR", "pupxL", "pupyL", "pupxR", "pupyR")), F.when(trigger.isin("0", ""), "").otherwise(trigger).alias("message"),
     )
     area, size = head.get("Calibration Area", []), head.get("Stimulus Dimension [mm]", [])
@@ -144,7 +146,10 @@ def read_smi_binary(spark: SparkSession, paths: str | Sequence[str], diagnostics
                 yield d
 
     d = files.mapInPandas(decode, schema)
-    got = d.orderBy("recording_id", "sample_idx").limit(1).select("_rate").collect()
+    # Only the first file is decoded for its rate.
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    first = sorted(spark.read.format("binaryFile").load(paths).inputFiles())[:1]
+    got = contents(spark, [unquote(first[0])]).mapInPandas(lambda it: (x.head(1) for x in decode(it)), schema).select("_rate").limit(1).collect() if first else []
     meta = RecordingMeta("smi", got[0][0] if got else 50.0, 1280, 1024, 30.0, 60.0)
     d = d.drop("_rate", *(() if diagnostics else _DIAGNOSTICS))
     from gazeframe.functions.numeric import nan_to_null

@@ -229,3 +229,23 @@ def test_smi_text_batch_by_each_header(spark, tmp_path):
         (tmp_path / f"{name}.txt").write_text("\n".join(["## [BeGaze TXT Export]", "## Sample Rate:\t50", "\t".join(cols), row]) + "\n")
     got = read_smi_text(spark, [str(tmp_path / "a.txt"), str(tmp_path / "b.txt")]).df.orderBy("time").collect()
     assert [(r.gxL, r.gyL, r.gxR, r.gyR, r.message) for r in got] == [(10, 20, 30, 40, ""), (None, None, 50, 60, "7")]
+
+
+def test_files_of_equal_names(spark, tmp_path):
+    for k, folder in enumerate(("a", "b b")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "rec.asc").write_text(ASC.replace("10.5", f"{k}0.5"))
+    one, two = (f"{tmp_path}/{x}/rec.asc" for x in ("a", "b b"))
+    gf = read(spark, [two, one])
+    got = {(r.recording_id, r.participant): r.n for r in gf.df.groupBy("recording_id", "participant").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("rec#1", "rec"): 5, ("rec#2", "rec"): 5}
+    assert {r.recording_id: r.gxL for r in gf.df.where("time = 101").collect()} == {"rec#1": 10.5, "rec#2": 0.5}
+    assert gf.df.groupBy("recording_id", "sample_idx").count().where("count > 1").count() == 0
+    assert {r.trial for r in gf.df.select("trial").distinct().collect()} == {1, None}
+
+
+def test_one_file_under_two_labels(spark, tmp_path):
+    (tmp_path / "rec.asc").write_text(ASC)
+    gf = read(spark, [f"{tmp_path}/rec.asc"] * 2, participant_labels=["P1", "P2"])
+    got = {(r.recording_id, r.participant): r.n for r in gf.df.groupBy("recording_id", "participant").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {("rec#1", "P1"): 5, ("rec#2", "P2"): 5}
