@@ -404,7 +404,17 @@ def w07(spark, d):
     return D.ivt_labels(df, "vel", *_IVT).select("recording_id", "sample_idx", "label")
 
 
-@query("w08_idt_labels")
+@query(
+    "w08_idt_labels",
+    f"""WITH RECURSIVE {SAMPLES_SQL}, r AS (SELECT *, gx IS NOT NULL AND gy IS NOT NULL AS ok, row_number() OVER (PARTITION BY recording_id ORDER BY sample_idx) - 1 AS k, count(*) OVER (PARTITION BY recording_id) AS n FROM s),
+p AS (SELECT a.recording_id, a.k AS i, b.k AS j, a.n, b.ok, count(*) FILTER (WHERE b.ok) OVER w AS c, ((max(b.gx) FILTER (WHERE b.ok) OVER w - min(b.gx) FILTER (WHERE b.ok) OVER w) + max(b.gy) FILTER (WHERE b.ok) OVER w - min(b.gy) FILTER (WHERE b.ok) OVER w) / 40.0::DOUBLE AS spread
+  FROM r a JOIN r b ON a.recording_id = b.recording_id AND b.k >= a.k WHERE a.ok AND a.k + 3 <= a.n WINDOW w AS (PARTITION BY a.recording_id, a.k ORDER BY b.k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+o AS (SELECT recording_id, i, n, min(j) AS j FROM p WHERE c = 3 AND ok GROUP BY ALL), good AS (SELECT o.* FROM o JOIN p USING (recording_id, i, j) WHERE p.spread <= 30),
+stop AS (SELECT good.recording_id, good.i, arg_min(CASE WHEN p.ok THEN p.j - 1 ELSE p.j END, p.j) AS e FROM good JOIN p ON p.recording_id = good.recording_id AND p.i = good.i AND p.j > good.j AND (NOT p.ok OR p.spread > 30) GROUP BY ALL),
+win AS (SELECT good.recording_id, good.i, coalesce(e, n - 1) AS e FROM good LEFT JOIN stop USING (recording_id, i)), nxt AS (SELECT r.recording_id, r.k, win.e FROM r LEFT JOIN win ON win.recording_id = r.recording_id AND win.i = r.k),
+walk AS (SELECT recording_id, k, e FROM nxt WHERE k = 0 UNION ALL SELECT nxt.recording_id, nxt.k, nxt.e FROM walk JOIN nxt ON nxt.recording_id = walk.recording_id AND nxt.k = coalesce(walk.e, walk.k) + 1)
+SELECT r.recording_id, r.sample_idx, CASE WHEN max(walk.k) IS NOT NULL THEN 'fixation' ELSE 'saccade' END AS label FROM r LEFT JOIN walk ON walk.recording_id = r.recording_id AND r.k BETWEEN walk.k AND walk.e GROUP BY r.recording_id, r.sample_idx""",
+)
 def w08(spark, d):
     return D.idt_labels(frame(spark, d).df, "gxL", "gyL", 40.0, 30.0, 3).select("recording_id", "sample_idx", "label")
 
@@ -499,7 +509,22 @@ def w16(spark, d):
     return X.interpolate_blinks(frame(spark, d), 16.7, "linear", "left").df.select("recording_id", "sample_idx", r6("paL").alias("pa"))
 
 
-@query("w16_interpolate_blinks_cubic")
+_PER = "PARTITION BY recording_id ORDER BY k"
+
+
+@query(
+    "w16_interpolate_blinks_cubic",
+    f"""WITH {SAMPLES_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY sample_idx) AS k, max(in_blink::INT) OVER (PARTITION BY recording_id ORDER BY sample_idx ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AS wide FROM s),
+{runs_sql("u", "r", "wide")}, b AS (SELECT recording_id, _run, min(k) AS f, max(k) AS l, max(k) - min(k) + 1 AS size FROM u WHERE wide GROUP BY ALL),
+an AS (SELECT b.*, p.pa AS a, q.pa AS z FROM b LEFT JOIN r p ON p.recording_id = b.recording_id AND p.k = f - 1 LEFT JOIN r q ON q.recording_id = b.recording_id AND q.k = l + 1),
+h AS (SELECT u.recording_id, u.k, u.pa, CASE WHEN an.f IS NULL THEN u.pa ELSE coalesce(z, a, u.pa) END AS v FROM u LEFT JOIN an ON u.wide AND an.recording_id = u.recording_id AND an._run = u._run),
+sl AS (SELECT recording_id, k, coalesce((pa - last_value(v IGNORE NULLS) OVER b) / (k - last_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER b), 0) AS down,
+  coalesce((first_value(pa IGNORE NULLS) OVER a - pa) / (first_value(CASE WHEN pa IS NOT NULL THEN k END IGNORE NULLS) OVER a - k), 0) AS up
+  FROM h WINDOW b AS ({_PER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS ({_PER} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+c AS (SELECT an.*, coalesce(p.down, 0) * size AS m0, coalesce(q.up, 0) * size AS m1 FROM an LEFT JOIN sl p ON p.recording_id = an.recording_id AND p.k = f - 1 LEFT JOIN sl q ON q.recording_id = an.recording_id AND q.k = l + 1),
+t AS (SELECT u.recording_id, u.sample_idx, u.pa, c.*, (u.k - f) / greatest(size - 1, 1)::DOUBLE AS x FROM u LEFT JOIN c ON u.wide AND c.recording_id = u.recording_id AND c._run = u._run)
+SELECT recording_id, sample_idx, {_r6("CASE WHEN f IS NULL OR a IS NULL AND z IS NULL THEN pa WHEN a IS NULL THEN z WHEN z IS NULL THEN a ELSE (2 * x * x * x - 3 * x * x + 1) * a + (x * x * x - 2 * x * x + x) * m0 + (3 * x * x - 2 * x * x * x) * z + (x * x * x - x * x) * m1 END")} AS pa FROM t""",
+)
 def w16c(spark, d):
     return X.interpolate_blinks(frame(spark, d), 16.7, "cubic", "left").df.select("recording_id", "sample_idx", r6("paL").alias("pa"))
 
@@ -614,7 +639,16 @@ def c06(spark, d):
     return rounded(C.prepare_analysis_data(frame(spark, d), ("pupil", "gaze_x"), eye="left"), "time")
 
 
-@query("c07_growth_curve")
+def _growth_sql() -> str:
+    """Gram and Schmidt over the distinct times, one degree after the other."""
+    steps = ["d0 AS (SELECT time_bin, 2 * (time_bin - min(time_bin) OVER ()) / (max(time_bin) OVER () - min(time_bin) OVER ()) - 1 AS x, 1 / sqrt(count(*) OVER ())::DOUBLE AS o0 FROM (SELECT DISTINCT time_bin FROM b))"]
+    for k in (1, 2, 3):
+        less = " - ".join([f"x ** {k}", *(f"o{m} * sum(x ** {k} * o{m}) OVER ()" for m in range(k))])
+        steps.append(f"e{k} AS (SELECT *, {less} AS v FROM d{k - 1}), d{k} AS (SELECT * EXCLUDE (v), v / sqrt(sum(v * v) OVER ()) AS o{k} FROM e{k})")
+    return ", ".join(steps)
+
+
+@query("c07_growth_curve", f"""WITH b AS ({ORACLES["a08_time_bin"]}), {_growth_sql()} SELECT b.*, {", ".join(f"{_r6(f'o{k}')} AS ot{k}" for k in (1, 2, 3))} FROM b JOIN d3 USING (time_bin)""")
 def c07(spark, d):
     got = C.growth_curve_data(C.time_bin(frame(spark, d), _BIN, eye="left"), degree=3)
     return rounded(got, "value", "ot1", "ot2", "ot3")
@@ -659,7 +693,17 @@ def c10(spark, d):
     return A.trial_table(A.parse_variables(_raw_events(spark, d)), "view", ["click", "error", "purchase", "signup"])
 
 
-@query("c10_trial_table_auto")
+_AUTO = ("click", "error", "purchase", "signup", "view")
+
+
+@query(
+    "c10_trial_table_auto",
+    f"""WITH RECURSIVE {_RAW}, v AS (SELECT *, v || ' ms' AS value, row_number() OVER (PARTITION BY recording_id ORDER BY event_seq) AS k FROM raw WHERE i % 5 = 0),
+f AS (SELECT recording_id, k, 1::BIGINT AS trial, [event_type] AS seen FROM v WHERE k = 1 UNION ALL
+  SELECT v.recording_id, v.k, CASE WHEN list_contains(f.seen, v.event_type) THEN f.trial + 1 ELSE f.trial END, CASE WHEN list_contains(f.seen, v.event_type) THEN [v.event_type] ELSE list_append(f.seen, v.event_type) END
+  FROM f JOIN v ON v.recording_id = f.recording_id AND v.k = f.k + 1)
+SELECT recording_id, trial, min(sttime) AS sttime_min, max(sttime) AS sttime_max, {", ".join(f"coalesce(arg_max(trim(value), event_seq) FILTER (WHERE event_type = '{c}'), '') AS {c}" for c in _AUTO)} FROM v JOIN f USING (recording_id, k) GROUP BY recording_id, trial""",
+)
 def c10a(spark, d):
     return A.trial_table(A.parse_variables(_raw_events(spark, d)), None, ["click", "error", "purchase", "signup", "view"])
 
@@ -732,10 +776,10 @@ def f02(spark, d):
     return frame(spark, d).df.select("recording_id", "sample_idx", r6(px_to_deg(F.col("gxL"), ppd)).alias("deg"), r6(deg_to_px(px_to_deg(F.col("gxL"), ppd), ppd)).alias("px"))
 
 
-@query("u01_union_by_name", f"WITH {SAMPLES_SQL} SELECT label, count(*)::BIGINT AS n, count(pa)::BIGINT AS n_pupil FROM (SELECT 'a' AS label, pa FROM s UNION ALL SELECT 'b' AS label, NULL AS pa FROM s WHERE trial < 5) GROUP BY label")
+@query("u01_union_by_name", f"WITH {SAMPLES_SQL} SELECT label, count(*)::BIGINT AS n, count(pa)::BIGINT AS n_pupil FROM (SELECT 'a' AS label, pa FROM s UNION ALL SELECT 'b' AS label, NULL AS pa FROM s) GROUP BY label")
 def u01(spark, d):
     a = events_samples(spark, d).withColumn("label", F.lit("a"))
-    b = events_samples(spark, d).where("trial < 5").drop("paL").withColumn("label", F.lit("b"))
+    b = events_samples(spark, d).drop("paL").withColumn("label", F.lit("b"))
     return a.unionByName(b, allowMissingColumns=True).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count("paL").alias("n_pupil"))
 
 
@@ -873,3 +917,7 @@ def plot_velocity(spark, d):
 @query("plot_sequence", "WITH " + SAMPLES_SQL + f", k AS (SELECT DISTINCT {_K} FROM s ORDER BY {_K} LIMIT 20), q AS (SELECT s.* FROM s JOIN k USING ({_K})), " + ", ".join(runs_sql(n, "q", f, _K) for n, f in (("r1", "in_fix"), ("r2", "in_sacc"), ("r3", "in_blink"))) + " " + " UNION ALL ".join(f"SELECT {_K}, {_r6('arg_min(time, sample_idx)')} AS t_start, {_r6('arg_max(time, sample_idx)')} AS t_stop, '{k}' AS kind FROM {n} WHERE {f} GROUP BY {_K}, _run" for n, f, k in (("r1", "in_fix", "fixation"), ("r2", "in_sacc", "saccade"), ("r3", "in_blink", "blink"))))
 def plot_sequence(spark, d):
     return rounded(P.sequence_bars(frame(spark, d)), "t_start", "t_stop")
+
+
+# The queries of readers and writers are registered in a module of their own.
+from gazeframe.plans import file_queries  # noqa: E402, F401
