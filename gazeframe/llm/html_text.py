@@ -7,8 +7,10 @@ as the article. A decision tree, grown here on a small labelled table of blocks,
 
 Scale. Pages are independent: one pass, no shuffle; a page is held by itself.
 
-Defined cases: null and empty pages give the empty text. Pages without any tag are one block. Unclosed comments, scripts
-and tags run to the end of the page and are dropped. Repeated rows are treated alike. Input columns named like an output
+Defined cases: null and empty pages give the empty text. Pages without any tag are one block. Unclosed comments, scripts, styles
+(whatever a browser reads as raw text) and tags run to the end of the page and are dropped. Other elements without main text
+(``button``, ``svg``, ``select``, ...) are dropped with what they hold up to their own end tag, nested ones included; one that is never closed,
+or not within the block that it is in, or that closes itself, holds nothing, so that no text after it is lost. Repeated rows are treated alike. Input columns named like an output
 column are replaced.
 """
 
@@ -36,7 +38,7 @@ MAIN_ROLES = frozenset("main article".split())
 ASIDE_NAMES = frozenset(
     "ad ads adbox adslot adsense advert adverts advertise advertisement advertising banner banners sponsor sponsored sponsors promo promos promotion menu menus nav navbar navigation topbar breadcrumb breadcrumbs footer foot header masthead sidebar sidebars aside rail widget widgets cookie cookies consent gdpr notice notices notification alert disclaimer popup modal overlay newsletter subscribe subscription signup login comment comments commentlist discussion disqus respond replies reply share sharing social related recommended recommendations trending popular teaser teasers outbrain taboola pagination pager search toolbar tags legal copyright hidden".split()
 )
-MAIN_NAMES = frozenset("article articlebody content maincontent main post postbody entry story storybody body-text prose".split())
+MAIN_NAMES = frozenset("article articlebody content maincontent main post postbody entry story storybody bodytext prose".split())
 CLOSES = {"p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "aside", "article")
@@ -110,7 +112,11 @@ def decide(node: Node, x: tuple) -> int:
 TREE = grow(TABLE[:, :-1].astype(float), TABLE[:, -1].astype(int))
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?![\w-])", re.I)
+#: Every attribute in turn, so that nothing is found within another one's value.
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_MARKING = frozenset("class id role style hidden aria-hidden".split())
+#: Beginnings of names that speak of what a page has or has not, not of a part.
+_ABOUT = ("has-", "has_", "no-", "no_", "with-", "with_", "without-", "is-", "js-")
 _NAME = re.compile(r"[a-z0-9]+")
 _NONE, _ASIDE, _MAIN = 0, 1, 2
 
@@ -120,11 +126,21 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     hard, soft, main = tag in ASIDE_TAGS, False, tag in MAIN_TAGS
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            key = m[1].lower()
+            if key not in _MARKING:
+                continue
+            value = (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
-                names = _NAME.findall(value)
-                soft = soft or any(n in ASIDE_NAMES for n in names)
-                main = main or any(n in MAIN_NAMES for n in names)
+                if tag in ("html", "body"):
+                    continue
+                for word in value.split():
+                    if word.startswith(_ABOUT):
+                        continue
+                    names = _NAME.findall(word)
+                    own = any(n in MAIN_NAMES for n in names)
+                    # An entry's or article's header is its headline.
+                    soft = soft or any(n in ASIDE_NAMES and not (own and n == "header") for n in names)
+                    main = main or own
             elif key == "role":
                 hard, main = hard or value in ASIDE_ROLES, main or value in MAIN_ROLES
             elif key == "style":
@@ -134,6 +150,24 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     return hard, soft, main and not soft
 
 
+def _end_of(page: str, tag: str, at: int, block: str | None) -> int | None:
+    """Where the element ends that began before ``at``: after its own end tag, before that of the block that it is in; None if
+    there is none."""
+    depth = 1
+    names = tag if block is None else f"{tag}|{block}"
+    for m in re.compile(rf"<(/?)({names})(?=[\s/>])([^>]*)>", re.I).finditer(page, at):
+        if m[2].lower() != tag:
+            if m[1]:
+                return None
+        elif m[1]:
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif not m[3].endswith("/"):
+            depth += 1
+    return None
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     """(text, words, words in links, in a part named as something else, in the article) of each block, in order."""
     out: list[tuple[str, int, int, bool, bool]] = []
@@ -184,7 +218,12 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
                         break
             continue
         if tag in SKIPPED:
-            if tag in ("select", "svg", "math", "template", "object", "canvas", "audio", "video", "datalist", "map", "applet", "button", "head") or tag in RAW:
+            if tag != "head" and tag not in RAW:
+                end = None if attributes.endswith("/") else _end_of(page, tag, at, stack[-1][0] if stack else None)
+                if end is not None:
+                    at = end
+                parts.append(" ")
+            else:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 if tag == "head":  # may be left unclosed: ends where the body begins
                     body = re.compile(r"<(?:body|article|main|div|p|h1|nav|header|section)(?=[\s/>])", re.I).search(page, at)

@@ -33,3 +33,24 @@ def test_frame(spark):
     got = sorted(extract_pages(df).collect(), key=lambda r: r.page_id)
     assert [r.n_chars for r in got] == [len(extract(PAGE)), 0, 0] and got[0].text == extract(PAGE) and got[1].text == ""
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_unclosed_and_nested_elements_lose_nothing_after_them():
+    first, last = "This is the first paragraph of the article, long enough.", "And this is the tail of it, which has to stay as well."
+    for tag in ("button", "svg", "select", "map", "canvas", "video", "object", "math", "audio"):
+        page = f"<body><article><p>{first}</p>%s<p>{last}</p></article></body>"
+        for piece in (f"<{tag}>", f"<{tag}/>", f"<{tag} class='a' />", f"<{tag}>inner words</{tag}>", f"<{tag}>a<{tag}>b</{tag}>inner words</{tag}>"):
+            if tag in ("button", "select") and piece.endswith("/>") and "class" not in piece:
+                continue
+            assert extract(page % piece) == f"{first}\n{last}", (tag, piece)
+        later = f"<article><p>{first}</p><{tag}><p>{last}</p></article><div><{tag}>menu</{tag}></div>"
+        assert extract(later) == f"{first}\n{last}", tag
+
+
+def test_names_mark_only_the_part_that_they_name():
+    first, last = "This is the first paragraph of the article, long enough.", "And this is the tail of it, which has to stay as well."
+    for head in ("<body class='has-sidebar'>", "<body class='menu'>", "<body><div class='content no-comments'>", "<body><div title='id=ads class=footer'>"):
+        assert extract(f"{head}<p>{first}</p><p>{last}</p></body>") == f"{first}\n{last}", head
+    assert extract(f"<article><header class='entry-header'><h1>Headline</h1></header><p>{first}</p></article>") == f"Headline\n{first}"
+    assert extract(f"<p title='id=ads'>{first}</p><p>{last}</p>") == f"{first}\n{last}"
+    assert extract(f"<article><p>{first}</p></article><div id=comments><p>{last}</p></div>") == first
