@@ -82,7 +82,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     got = rotate(_table(spark, sf_dir, "conversations"))
-    return got.select("conv_id", "participant", "chunk", "n_turns", "n_chars", "n_learnt", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), spans.alias("spans"))
+    return got.select("conv_id", "participant", "chunk", "n_turns", "n_chars", "n_learnt", "text", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), spans.alias("spans"))
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +125,7 @@ v AS (SELECT t.conv_id, p.participant, place // 64 AS chunk, place, speaker = pa
       FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 o AS (SELECT *, coalesce(sum(length(head) + length(content) + 1) OVER (PARTITION BY conv_id, participant, chunk ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS b FROM v)
 SELECT conv_id, participant, chunk::BIGINT AS chunk, count(*)::BIGINT AS n_turns, sum(length(head) + length(content) + 1)::BIGINT AS n_chars,
-  coalesce(sum(length(content)) FILTER (WHERE me), 0)::BIGINT AS n_learnt, sha256(string_agg(head || content || chr(10), '' ORDER BY place)) AS text_sha256,
+  coalesce(sum(length(content)) FILTER (WHERE me), 0)::BIGINT AS n_learnt, string_agg(head || content || chr(10), '' ORDER BY place) AS text, sha256(string_agg(head || content || chr(10), '' ORDER BY place)) AS text_sha256,
   coalesce(string_agg((b::BIGINT)::VARCHAR || '-' || (b + length(content))::BIGINT::VARCHAR, ',' ORDER BY place) FILTER (WHERE me), '') AS spans
 FROM o GROUP BY conv_id, participant, chunk
 """

@@ -35,3 +35,18 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert not decontaminate(df, bm).collect()[0].contaminated
     assert decontaminate(df.limit(0), bm).count() == 0
+
+
+def test_long_documents(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(4))
+    items = [(f"i{k}", " ".join(word() for _ in range(20))) for k in range(5)]
+    texts = [" ".join(word() for _ in range(6000)) for _ in range(3)]
+    texts[1] = f"{texts[1]} {items[2][1].upper()} {texts[0][:9000]} {items[4][1]}, end"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    from gazeframe.llm.decontaminate import brute_force, decontaminate
+
+    got = sorted(tuple(r) for r in decontaminate(docs, spark.createDataFrame(items, "item_id string, text string"), shard_words=2000).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect())
+    assert got == [(i, *x) for i, x in enumerate(brute_force(texts, items))] and got[1][2] == 40

@@ -59,3 +59,14 @@ def test_no_labels(spark):
     df = spark.createDataFrame([(1, "abc")], "doc_id long, text string").withColumn("lang", F.lit(None).cast("string"))
     assert identify(df, train(df, F.lit(True))).collect()[0].lang_pred == "und"
     assert has_letter("é".encode()) and not has_letter("☃1".encode())
+
+
+def test_empty_table(spark):
+    from pyspark.sql import functions as F
+
+    from gazeframe.llm.language_id import identify, train
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    assert identify(docs, train(docs, F.lit(True))).count() == 0
+    some = spark.createDataFrame([(1, "words of a text", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in identify(some, train(some, F.lit(True))).collect()} == {1: "und", 2: "und"}

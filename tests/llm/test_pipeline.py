@@ -62,6 +62,43 @@ def test_stages_and_result(tmp_path, spark):
     assert {r.doc_id for r in mixed} <= alive and all(abs(a - b) <= 1 for a, b in total.values()) and len(total) == 3
 
 
+def test_defined_cases_of_every_stage(tmp_path, spark, monkeypatch):
+    import corpus_pipeline as cp
+    from pyspark.sql import functions as F
+
+    docs, items, gone = _fixture(tmp_path, spark)
+    item = items[0][1]
+    rng = random.Random(9)
+    words = ["kratok", "benzumil", "milkra", "tokben", "zukra"]
+    own, other = (" ".join(rng.choice(words) for _ in range(1500)) for _ in range(2))
+    extra = [(None, None, "aa", "src1", 0), (None, other, None, None, 9), (7000, f"{own[:4000]} {item} {own[4000:]}", "aa", "src0", 9), (7001, "", "bb", "src0", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    base = spark.read.parquet(f"{tmp_path}/documents.parquet").unionByName(spark.createDataFrame(extra, schema))
+    base = base.unionByName(base.where("doc_id in (0, 1)"))  # repeated rows
+    names = ["n_words", "items", "spans", "_lang", "_score", "_toxic", "_kept", "_k1", "class_id", "contaminated"]
+    docs = base.withColumns({n: F.concat(F.lit(f"{n}:"), F.col("text").substr(1, 9)) for n in names}).repartition(3)
+    kept = {}
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        last = name == cp.STAGES[-1][0]
+        assert out.columns == docs.columns + (["size", "source_size", "target", "taken"] if last else []), name
+        rows = out.collect()
+        assert all(r[n] == (None if r.text is None else f"{n}:{r.text[:9]}") for r in rows for n in names), name
+        kept[name] = rows
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    ids = {k: [r.doc_id for r in v] for k, v in kept.items()}
+    assert ids["language_id"].count(0) == 2 and ids["toxicity"].count(1) == 2 and ids["decontamination"].count(0) == 2  # judged alike
+    assert ids["near_dedup"].count(0) == ids["near_dedup"].count(1) == 1
+    assert 7001 not in ids["language_id"] and 7000 in ids["near_dedup"] and 7000 not in ids["decontamination"]  # a passage in a long text
+    assert sum(r.doc_id is None and r.text is not None for r in kept["near_dedup"]) == 1
+    assert sum(r.doc_id is None for r in kept["decontamination"]) == 2 and not any(r.text is None for r in kept["language_id"])
+    assert all(r.taken > 0 for r in kept["mixing"])
+    # The prediction counts: documents of other languages than those asked for go.
+    monkeypatch.setattr(cp, "LANGUAGES", ("aa",))
+    only = [r for r in cp.language(spark, docs, str(tmp_path)).collect() if r.lang is not None]
+    assert only and all(r.lang == "aa" for r in only)
+
+
 def test_registry():
     names = [n.split("_")[0] for n in queries()]
     assert sorted(names, key=lambda x: int(x[2:])) == [f"op{i}" for i in range(1, 11)]

@@ -66,3 +66,67 @@ def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert score_toxicity(docs, train(docs, labels, F.lit(True))).collect()[0].tox_score == 0
+
+
+def test_whole_query_against_brute_force(spark, tmp_path):
+    import math
+    import random
+    import zlib
+    from collections import Counter
+
+    from gazeframe.llm.queries import queries
+    from gazeframe.llm.toxicity import choose_terms, terms_of_word, train
+    from gazeframe.llm.common import WORD_BYTES, crc_mod
+
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(120)]
+    docs, labels = [], []
+    for i in range(150):
+        w = [rng.choice(plain) for _ in range(rng.randrange(3, 30))]
+        bad = i % 5 == 0
+        if bad:
+            w += [rng.choice(["schurke", "grobian"])] * rng.randrange(1, 4)
+        docs.append((i, " ".join(w)))
+        if i % 3:
+            labels.append((i, int(bad)))
+    docs += [(900, None), (901, ""), (902, "word " * 30_000 + "schurke")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries()["op4_toxicity"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+
+    learnt = sorted((str(i), y, dict(docs)[i]) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2)
+    terms = set(choose_terms([t.encode() for _, _, t in learnt], np.array([y for _, y, _ in learnt]), 1024, 30.0))
+    count = lambda t: Counter(x for w in (t or "").encode().translate(WORD_BYTES).split() for x in terms_of_word(w) if x in terms)
+    df = Counter(x for _, t in docs for x in count(t))
+
+    def vector(t):
+        v = {x: math.log1p(c) * (1 + math.log((1 + len(docs)) / (1 + df[x]))) for x, c in count(t).items()}
+        n = math.sqrt(sum(a * a for a in v.values())) or 1.0
+        return {x: a / n for x, a in v.items()}
+
+    index = [vector(t) for _, _, t in learnt]
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = train(table, spark.read.parquet(f"{tmp_path}/labels.parquet"), crc_mod("doc_id", 4) != 2)
+    for i, t in docs:
+        q = vector(t)
+        near = sorted((-round(sum(a * v.get(x, 0.0) for x, a in q.items()), 9), k) for k, v in enumerate(index) if any(x in v for x in q))
+        want = model.base
+        if near:
+            cut = near[:15]
+            if len(near) > 15 and near[15][0] == near[14][0]:
+                continue  # a tie at the last place
+            w = [1 / (1.05 + s) for s, _ in cut]
+            vote = sum(a * learnt[k][1] for a, (_, k) in zip(w, cut, strict=True)) / sum(w)
+            want = 1 / (1 + math.exp(-(model.slope * vote + model.shift)))
+        assert abs(got[i].score - want) < 1e-6, i
+        assert got[i].predicted == int(got[i].score >= 0.3) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_empty_documents(spark):
+    from gazeframe.llm.common import crc_mod
+    from gazeframe.llm.toxicity import score_toxicity, train
+
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert score_toxicity(docs, train(docs, labels, crc_mod("doc_id", 4) != 2)).count() == 0

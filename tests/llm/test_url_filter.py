@@ -53,3 +53,12 @@ def test_empty_tables(spark):
     rs = spark.createDataFrame([], "host string, path string, verdict string")
     assert judge_urls(df, rs, default="block").first().verdict == "block"
     assert judge_urls(df.limit(0), rs).count() == 0
+
+
+def test_very_long_urls(spark):
+    host, path = ".".join(["a"] * 3000) + ".example.com", "/en/" + "x/" * 50_000
+    rules = spark.createDataFrame([("com", "/en/", "block"), ("example.com", "/en/x/x/", "allow")], "host string, path string, verdict string")
+    pages = spark.createDataFrame([(1, f"https://{host}{path}?q"), (2, f"https://{host}/{'y' * 100_000}"), (3, "https://x.com" + path)], "page_id long, url string")
+    got = {r.page_id: r for r in judge_urls(pages, rules).collect()}
+    assert (got[1].verdict, got[1].rule, len(got[1].path)) == ("allow", "example.com/en/x/x/", len(path))
+    assert got[2].rule is None and got[3].rule == "com/en/"
