@@ -1,16 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, weighted votes, calibration.
 
-Method. Terms are lower-cased words and their beginnings (4 to 8 bytes). Of the labelled examples' terms, those that go
-with a label far more than chance (chi-square; the bound follows the number of labels) make the space; a text is its TF-IDF vector there, with document frequencies
-counted over all documents. Examples lie in blocks of 64; for each term and block the index holds the largest weight. A
-query takes blocks in the order of their bounds and stops when a bound falls below the k-th best cosine: the k nearest are
-exact. Votes are weighted by distance; a logistic curve fitted on the examples' own leave-one-out votes calibrates
-them. A text without any such term has no neighbour and gets the smoothed rate of the examples without one.
+Method. A text is the vector of all its lower-cased words that any labelled example holds, weighted by ``ln(1 + count)``, by IDF over
+all documents, and by ``1 + max(0, chi-square - 3.84)`` of the word with the label among the examples: words that go with a label beyond
+chance pull harder, all others count by their TF-IDF, and none is left out. Examples lie in blocks; for each word and block the index
+holds the largest weight. A query takes blocks in the order of their bounds and stops when a bound falls below the k-th best cosine:
+the k nearest are exact. Votes are weighted by distance; a logistic curve fitted on the examples' own leave-one-out votes
+calibrates them. A text without a word of any example has no neighbour and gets the smoothed rate of the examples without one.
 
 Scale. Labelled examples: at most about ``examples`` rows, chosen by a hash of the id with a rate from the exact count; their
-index is the only thing sent to tasks, bounded by examples x terms. Scoring moves no row.
+index is the only thing sent to tasks, bounded by the examples' words. Scoring moves no row.
 
-Defined cases: null and empty texts have no term and get that base rate. An id that is labelled more than once counts
+Defined cases: null and empty texts have no word and get that base rate. An id that is labelled more than once counts
 with its largest label. Without any label, all scores are 0. Repeated rows are scored alike; equal cosines go to the example that comes first.
 Input columns named like an output column are replaced.
 """
@@ -27,161 +27,119 @@ from pyspark.sql import functions as F
 
 from gazeframe.llm.common import WORD_BYTES, bytes_of, map_texts, small_batches
 
-MEMO = 200_000
-PREFIXES = range(4, 9)
-
-
-def terms_of_word(word: bytes) -> list[bytes]:
-    """The word, and ``^`` with each of its beginnings that ends between characters."""
-    return [word, *(b"^" + word[:n] for n in PREFIXES if len(word) >= n and (len(word) == n or word[n] & 0xC0 != 0x80))]
-
-
-class TermCounter:
-    """Counts the chosen terms of a text; remembers, within a bound, which terms a word has."""
-
-    def __init__(self, terms: dict[bytes, int]):
-        self.terms, self.memo = terms, {}
-
-    def __call__(self, raw: bytes) -> dict[int, int]:
-        counts = Counter(raw.translate(WORD_BYTES).split())
-        memo, terms = self.memo, self.terms
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in counts:
-            if w not in memo:
-                memo[w] = tuple(t for x in terms_of_word(w) if (t := terms.get(x)) is not None)
-        out: dict[int, int] = {}
-        for w, c in counts.items():
-            if got := memo[w]:
-                for t in got:
-                    out[t] = out.get(t, 0) + c
-        return out
-
-
-def _term_hashes(raw: bytes) -> np.ndarray:
-    """Hashes of the distinct terms of a text; they hold within this process."""
-    return np.unique(np.fromiter((hash(t) for w in set(raw.translate(WORD_BYTES).split()) for t in terms_of_word(w)), np.int64))
-
-
-def select_terms(texts: list[bytes], labels: np.ndarray, most: int, least_chi: float, parts: int = 16) -> list[bytes]:
-    """Terms whose presence goes with either label: chi-square of at least ``least_chi``, the ``most`` strongest.
-
-    Terms are counted as hashes, a part of them at a time, so that memory stays small; only strong ones get names.
-    """
-    n = np.bincount(labels, minlength=2)
-    present = [_term_hashes(raw) for raw in texts]
-    base = (n[1] + 0.5) / (len(texts) + 1)
-    found: dict[int, float] = {}
-    for part in range(parts):
-        own = [p[(p & (parts - 1)) == part] for p in present]
-        if not any(len(x) for x in own):
-            continue
-        keys, count = np.unique(np.concatenate(own), return_counts=True)
-        keys, count = keys[count >= 3], count[count >= 3]
-        ones = np.concatenate([np.zeros(0, np.int64), *(x for x, y in zip(own, labels.tolist(), strict=True) if y == 1)])
-        a = np.zeros(len(keys))
-        at = np.searchsorted(keys, ones)
-        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == ones)] if len(keys) else at[:0]
-        np.add.at(a, at, 1)
-        b = count - a
-        c, d = n[1] - a, n[0] - b
-        chi = len(texts) * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1)
-        rate = (a + 0.5) / (a + b + 1)
-        strong = (chi >= least_chi) & ((rate >= base + 0.5 * (1 - base)) | (rate <= base / 4))
-        found |= dict(zip(keys[strong].tolist(), chi[strong].tolist(), strict=True))
-    names: dict[int, bytes] = {}
-    for raw, p in zip(texts, present, strict=True):
-        if len(names) == len(found):
-            break
-        if any(k in found and k not in names for k in p.tolist()):
-            for w in set(raw.translate(WORD_BYTES).split()):
-                for t in terms_of_word(w):
-                    if (k := hash(t)) in found:
-                        names[k] = t
-    order = sorted(names, key=lambda k: (-found[k], names[k]))[:most]
-    return [names[k] for k in order]
+#: Chi-square that one label in twenty goes beyond by chance.
+CHANCE = 3.84
+
+
+def words_of(raw: bytes, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the text's known words, ascending, and how often each occurs."""
+    got = sorted((t, n) for w, n in Counter(raw.translate(WORD_BYTES).split()).items() if (t := words.get(w)) is not None)
+    return np.array([t for t, _ in got], np.int64), np.array([n for _, n in got], np.float64)
+
+
+def association(vectors: list[np.ndarray], labels: np.ndarray, n_words: int) -> np.ndarray:
+    """Chi-square of each word's presence with the label."""
+    ones, n1, n = np.zeros(n_words), int(labels.sum()), len(labels)
+    held = np.zeros(n_words)
+    for t, y in zip(vectors, labels.tolist(), strict=True):
+        held[t] += 1
+        ones[t] += y
+    cross = ones * (n - n1) - (held - ones) * n1
+    return n * cross**2 / np.maximum(held * (n - held) * n1 * (n - n1), 1)
 
 
-def choose_terms(texts: list[bytes], labels: np.ndarray, most: int, least_chi: float) -> list[bytes]:
-    """``select_terms`` with a bound that few labels can reach: chi-square is at most their number, so a quarter of that is
-    enough, and where no term reaches it, half as much, down to what goes beyond chance at 5 %."""
-    bound = min(least_chi, len(texts) / 4)
-    while not (got := select_terms(texts, labels, most, bound)) and bound > 3.84:
-        bound = max(bound / 2, 3.84)
-    return got
+def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges [start, end), and their lengths."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(int(n.sum())), n
 
 
 class BlockMaxIndex:
-    """Exact k nearest unit vectors by cosine. ``vectors``: (terms, weights) of each example, terms ascending."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
-        # Examples with the same strongest term lie together, so that bounds differ between blocks.
-        self.order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), i))
-        self.blocks = max(1, -(-len(self.order) // block))
-        self.block = block
-        self.bound = np.zeros((n_terms, self.blocks), np.float64)
-        post: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, i in enumerate(self.order):
-            for t, w in zip(vectors[i][0].tolist(), vectors[i][1].tolist(), strict=True):
-                post.setdefault((t, at // block), []).append((at % block, w))
-                self.bound[t, at // block] = max(self.bound[t, at // block], w)
-        self.post = {k: (np.array([x for x, _ in v]), np.array([w for _, w in v])) for k, v in post.items()}
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[list[int], list[float]]:
+    """Exact k nearest unit vectors by cosine. ``vectors``: (words, weights) of each example, words ascending."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_words: int, block: int = 64):
+        # Examples with the same strongest word lie together, so that bounds differ between blocks.
+        order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), i))
+        self.order, self.blocks = np.array(order, np.int64), max(1, -(-len(order) // block))
+        word = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
+        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
+        at = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        by = np.argsort(word, kind="stable")  # by word, then place
+        self.at, self.weight = at[by], weight[by]
+        key = word[by] * self.blocks + self.at // block
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        # One entry for each word and block: the block, the largest weight, the range of postings.
+        self.block, self.start, self.end = key[first] % self.blocks, first, np.append(first[1:], len(key))
+        self.largest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.entries = np.searchsorted(key[first], np.arange(n_words + 1) * self.blocks)
+
+    def nearest(self, words: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and cosines, best first; ties by number. ``skip``: an example to leave out."""
-        if not len(terms) or not self.order:
-            return [], []
-        bounds = weights @ self.bound[terms]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or (len(best) >= k and bounds[b] < -best[-1][0] - 1e-12):
+        best, cosine = np.zeros(0, np.int64), np.zeros(0)
+        entry, n = _spread(self.entries[words], self.entries[words + 1])
+        part = np.repeat(weights, n)
+        bounds = np.bincount(self.block[entry], part * self.largest[entry], minlength=self.blocks)
+        order, done, width = np.argsort(-bounds, kind="stable"), 0, 2
+        while done < self.blocks:
+            least = cosine[-1] - 1e-12 if len(best) == k else 0.0
+            turn = order[done : done + width]
+            turn = turn[(bounds[turn] > 0) & (bounds[turn] >= least)]
+            if not len(turn):
                 break
-            acc = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                if (p := self.post.get((t, b))) is not None:
-                    acc[p[0]] += w * p[1]
-            found = [(-round(float(acc[j]), 12), self.order[b * self.block + j]) for j in np.flatnonzero(acc > 0).tolist()]
-            best = sorted([*best, *(x for x in found if x[1] != skip)])[:k]
-        return [i for _, i in best], [min(1.0, -s) for s, _ in best]
+            mine = np.zeros(self.blocks, bool)
+            mine[turn] = True
+            mine = mine[self.block[entry]]
+            place, n = _spread(self.start[entry[mine]], self.end[entry[mine]])
+            sums = np.bincount(self.at[place], self.weight[place] * np.repeat(part[mine], n), minlength=len(self.order))
+            found = np.flatnonzero(sums > 0)
+            found = found[self.order[found] != skip]
+            best, cosine = np.concatenate([best, self.order[found]]), np.concatenate([cosine, np.round(sums[found], 12)])
+            if len(best) > k:  # all that reach the k-th, so that ties are kept until they are ordered
+                near = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
+                best, cosine = best[near], cosine[near]
+            by = np.lexsort((best, -cosine))[:k]
+            best, cosine = best[by], cosine[by]
+            done, width = done + width, width * 2
+        return best, np.minimum(cosine, 1.0)
 
 
 class Model:
-    """Terms, IDF, the examples' index and labels, and the calibration."""
-
-    def __init__(self, terms: list[bytes], df: np.ndarray, n_docs: int, texts: list[bytes], labels: np.ndarray, ids: list[str], k: int):
-        self.terms, self.labels, self.ids, self.k = terms, labels, ids, k
-        self.idf = 1 + np.log((1 + n_docs) / (1 + df))
-        count = TermCounter({t: i for i, t in enumerate(terms)})
-        vectors = [self.vector(count(x)) for x in texts]
-        self.index = BlockMaxIndex(vectors, len(terms))
+    """Words, weights, the examples' index and labels, and the calibration."""
+
+    def __init__(self, words: dict[bytes, int], df: np.ndarray, n_docs: int, texts: list[bytes], labels: np.ndarray, ids: list[str], k: int):
+        self.words, self.labels, self.ids, self.k = words, labels, ids, k
+        counts = [words_of(x, words) for x in texts]
+        idf = 1 + np.log((1 + n_docs) / (1 + df))
+        self.weight = idf * (1 + np.maximum(association([t for t, _ in counts], labels, len(words)) - CHANCE, 0))
+        vectors = [self.vector(*c) for c in counts]
+        self.index = BlockMaxIndex(vectors, len(words))
         bare = [y for v, y in zip(vectors, labels.tolist(), strict=True) if not len(v[0])]
         self.base = (sum(bare) + 0.5 * (len(labels) > 0)) / (len(bare) + 1 + (len(labels) > 0) * 10)
         self.slope, self.shift = 4.0, -2.0
         votes, ys = [], []
         for i, v in enumerate(vectors):
-            if len(v[0]) and (near := self.index.nearest(*v, k, skip=i))[0]:
+            if len(v[0]) and len((near := self.index.nearest(*v, k, skip=i))[0]):
                 votes.append(self.vote(*near))
                 ys.append(labels[i])
         if votes:
             self.slope, self.shift = _logistic(np.array(votes), np.array(ys, float))
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = np.log1p(np.array([counts[x] for x in t.tolist()], float)) * self.idf[t] if len(t) else np.zeros(0)
-        return t, w / (np.sqrt((w * w).sum()) or 1.0)
+    def vector(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        w = np.log1p(counts) * self.weight[words]
+        return words, w / (np.sqrt((w * w).sum()) or 1.0)
 
-    def vote(self, near: list[int], cosine: list[float]) -> float:
-        w = 1 / (1.05 - np.array(cosine))
+    def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
+        w = 1 / (1.05 - cosine)
         return float((w * self.labels[near]).sum() / w.sum())
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[str]]:
+    def score(self, raw: bytes) -> tuple[float, list[str]]:
         if not len(self.labels):
             return 0.0, []
-        near, cosine = self.index.nearest(*self.vector(counts), self.k)
-        if not near:
+        near, cosine = self.index.nearest(*self.vector(*words_of(raw, self.words)), self.k)
+        if not len(near):
             return self.base, []
         p = 1 / (1 + np.exp(-(self.slope * self.vote(near, cosine) + self.shift)))
-        return float(p), [self.ids[i] for i in near[:5]]
+        return float(p), [self.ids[i] for i in near[:5].tolist()]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -197,28 +155,27 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(max(w[0], 0.1)), float(w[1]))
 
 
-def _document_frequencies(docs: DataFrame, text: str, terms: list[bytes]) -> tuple[np.ndarray, int]:
-    """How many of all documents hold each term, and the number of documents."""
+def _document_frequencies(docs: DataFrame, text: str, words: dict[bytes, int]) -> tuple[np.ndarray, int]:
+    """How many of all documents hold each word, and the number of documents."""
     small_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, df = TermCounter(sent.value), np.zeros(len(sent.value) + 1, np.int64)
+        words, df = sent.value, np.zeros(len(sent.value) + 1, np.int64)
         for b in batches:
             df[-1] += b.num_rows
-            for raw in bytes_of(b.column(0)):
-                if got := count(raw):
-                    df[list(got)] += 1
+            held = [t for raw in bytes_of(b.column(0)) for w in set(raw.translate(WORD_BYTES).split()) if (t := words.get(w)) is not None]
+            df[:-1] += np.bincount(np.array(held, np.int64), minlength=len(words))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["t", "n"])
 
-    df = np.zeros(len(terms) + 1, np.int64)
-    for t, n in docs.select(text).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():
-        df[t] = n
+    df = np.zeros(len(words) + 1, np.int64)
+    got = docs.select(text).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # the examples' words at most
+    df[got.column("t").to_numpy()] = got.column("n").to_numpy()
     return df[:-1], int(df[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", examples: int = 6000, most_terms: int = 1024, least_chi: float = 30.0, k: int = 15) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", examples: int = 6000, k: int = 15) -> Model:
     """Learns from labelled rows that satisfy ``learn`` (a condition on the labels' id)."""
     own = labels.where(learn & F.col(doc_id).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label).cast("int")).alias("_y"))
     n = own.count()
@@ -226,29 +183,17 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(picked), "_id")  # about ``examples`` rows
     got = sorted({(str(r[0]), r[2], r[1]) for r in rows.select("_id", "_t", "_y").collect()})
     texts, ys = [t.encode() for _, _, t in got], np.array([y for _, y, _ in got], np.int64)
-    terms = choose_terms(texts, ys, most_terms, least_chi) if got else []
-    df, n_docs = _document_frequencies(docs, text, terms)
-    return Model(terms, df, n_docs, texts, ys, [i for i, _, _ in got], k)
+    words = {w: i for i, w in enumerate(sorted({w for raw in texts for w in raw.translate(WORD_BYTES).split()}))}
+    df, n_docs = _document_frequencies(docs, text, words)
+    return Model(words, df, n_docs, texts, ys, [i for i, _, _ in got], k)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, out: tuple[str, str, str] = ("tox_score", "tox_predicted", "tox_evidence")) -> DataFrame:
     """``docs`` with its columns, the score, 1 where it reaches ``threshold``, and the nearest examples' ids."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    state: dict = {}
 
     def work(b: pa.RecordBatch) -> dict:
-        model = sent.value
-        count = state.setdefault("count", TermCounter({t: i for i, t in enumerate(model.terms)}))
-        seen = state.setdefault("seen", {})
-        if len(seen) > 20_000:
-            seen.clear()
-        got = []
-        for raw in bytes_of(b.column(text)):
-            c = count(raw)
-            key = tuple(sorted(c.items()))
-            if key not in seen:
-                seen[key] = model.score(c)
-            got.append(seen[key])
+        got = [sent.value.score(raw) for raw in bytes_of(b.column(text))]
         return {out[0]: [s for s, _ in got], out[1]: [int(s >= threshold) for s, _ in got], out[2]: [e for _, e in got]}
 
     return map_texts(docs, [text], [(out[0], "double"), (out[1], "int"), (out[2], "array<string>")], work)

@@ -22,7 +22,7 @@ def test_block_max_is_exact():
         got, cos = index.nearest(*vectors[q], 9)
         sims = np.round(dense @ dense[q], 12)
         want = [i for _, i in sorted((-s, i) for i, s in enumerate(sims) if s > 0)[:9]]
-        assert got == want
+        assert got.tolist() == want
         assert np.allclose(cos, sims[want])
 
 
@@ -53,13 +53,13 @@ def test_held_out_accuracy_and_odd_texts(spark):
     assert odd[1002].tox_evidence
 
 
-def test_few_labels_still_make_a_space(spark):
+def test_few_labels_are_enough(spark):
     # The only telling word is in 4 of 9 toxic texts of 64: its chi-square is 26.
     rows = [(i, "eins grobian" if i < 4 else "eins zwei", int(i < 9)) for i in range(64)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, "zwei grobian"), (901, "zwei")], "doc_id long, text string")
     model = train(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), F.lit(True))
     got = {r.doc_id: r.tox_predicted for r in score_toxicity(docs, model).collect()}
-    assert model.terms and got[900] == 1 and got[901] == 0
+    assert got[900] == 1 and got[901] == 0
 
 
 def test_no_labels(spark):
@@ -75,7 +75,7 @@ def test_whole_query_against_brute_force(spark, tmp_path):
     from collections import Counter
 
     from gazeframe.llm.queries import queries
-    from gazeframe.llm.toxicity import choose_terms, terms_of_word, train
+    from gazeframe.llm.toxicity import train
     from gazeframe.llm.common import WORD_BYTES, crc_mod
 
     rng = random.Random(4)
@@ -96,12 +96,22 @@ def test_whole_query_against_brute_force(spark, tmp_path):
     assert len(got) == len(docs)
 
     learnt = sorted((str(i), y, dict(docs)[i]) for i, y in labels if zlib.crc32(str(i).encode()) % 4 != 2)
-    terms = set(choose_terms([t.encode() for _, _, t in learnt], np.array([y for _, y, _ in learnt]), 1024, 30.0))
-    count = lambda t: Counter(x for w in (t or "").encode().translate(WORD_BYTES).split() for x in terms_of_word(w) if x in terms)
+    words = lambda t: Counter((t or "").encode().translate(WORD_BYTES).split())
+    known = {w for _, _, t in learnt for w in words(t)}
+    count = lambda t: {w: n for w, n in words(t).items() if w in known}
     df = Counter(x for _, t in docs for x in count(t))
+    n, n1 = len(learnt), sum(y for _, y, _ in learnt)
+
+    def pull(w):
+        a = sum(y for _, y, t in learnt if w in words(t))
+        held = sum(w in words(t) for _, _, t in learnt)
+        low = held * (n - held) * n1 * (n - n1)
+        return 1 + max(0, n * (a * (n - n1) - (held - a) * n1) ** 2 / max(low, 1) - 3.84)
+
+    pulls = {w: pull(w) for w in known}
 
     def vector(t):
-        v = {x: math.log1p(c) * (1 + math.log((1 + len(docs)) / (1 + df[x]))) for x, c in count(t).items()}
+        v = {x: math.log1p(c) * (1 + math.log((1 + len(docs)) / (1 + df[x]))) * pulls[x] for x, c in count(t).items()}
         n = math.sqrt(sum(a * a for a in v.values())) or 1.0
         return {x: a / n for x, a in v.items()}
 
