@@ -2,9 +2,11 @@
 
 Method. A text is the vector of all its lower-cased words that any labelled example holds, weighted by ``ln(1 + count)``, by IDF over
 all documents, and by ``1 + max(0, chi-square - 3.84)`` of the word with the label among the examples: words that go with a label beyond
-chance pull harder, all others count by their TF-IDF, and none is left out. Examples lie in blocks; for each word and block the index
-holds the largest weight. A query takes blocks in the order of their bounds and stops when a bound falls below the k-th best cosine:
-the k nearest are exact. Votes are weighted by distance; a logistic curve fitted on the examples' own leave-one-out votes
+chance pull harder, all others count by their TF-IDF, and none is left out. Examples lie in blocks; for each of the words that most
+examples hold the index has the blocks' weights as a matrix and the largest weight in each block; the other words have posting lists. A
+batch of queries first adds up the lists: the k-th best of these sums is a floor of the k-th best cosine. A block is taken only by
+queries whose bound there (its best sum and the largest weights) reaches their floor, all of them in one matrix product: the k
+nearest are exact. Votes are weighted by distance; a logistic curve fitted on the examples' own leave-one-out votes
 calibrates them. A text without a word of any example has no neighbour and gets the smoothed rate of the examples without one.
 
 Scale. Labelled examples: at most about ``examples`` rows, chosen by a hash of the id with a rate from the exact count; their
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,19 @@ from gazeframe.llm.common import WORD_BYTES, bytes_of, map_texts, small_batches
 
 #: Chi-square that one label in twenty goes beyond by chance.
 CHANCE = 3.84
+#: Words whose weights lie in a matrix, the most held ones; the others are in lists. That changes speed only.
+COMMON = 1024
+#: Queries that go through the index at once.
+QUERIES = 64
 
 
 def words_of(raw: bytes, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the text's known words, ascending, and how often each occurs."""
-    got = sorted((t, n) for w, n in Counter(raw.translate(WORD_BYTES).split()).items() if (t := words.get(w)) is not None)
-    return np.array([t for t, _ in got], np.int64), np.array([n for _, n in got], np.float64)
+    count = Counter(raw.translate(WORD_BYTES).split())
+    t = np.fromiter(map(words.get, count, repeat(-1)), np.int64, len(count))
+    n = np.fromiter(count.values(), np.float64, len(count))
+    by = np.argsort(t, kind="stable")[int((t < 0).sum()) :]
+    return t[by], n[by]
 
 
 def association(vectors: list[np.ndarray], labels: np.ndarray, n_words: int) -> np.ndarray:
@@ -57,50 +67,77 @@ def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class BlockMaxIndex:
     """Exact k nearest unit vectors by cosine. ``vectors``: (words, weights) of each example, words ascending."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_words: int, block: int = 64):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_words: int, block: int = 64, common: int = COMMON):
         # Examples with the same strongest word lie together, so that bounds differ between blocks.
         order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), i))
-        self.order, self.blocks = np.array(order, np.int64), max(1, -(-len(order) // block))
+        self.order, self.size, self.blocks = np.array(order, np.int64), block, max(1, -(-len(order) // block))
         word = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
         weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
-        at = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
-        by = np.argsort(word, kind="stable")  # by word, then place
+        at = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
+        by = np.argsort(word, kind="stable")
         self.at, self.weight = at[by], weight[by]
-        key = word[by] * self.blocks + self.at // block
-        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
-        # One entry for each word and block: the block, the largest weight, the range of postings.
-        self.block, self.start, self.end = key[first] % self.blocks, first, np.append(first[1:], len(key))
-        self.largest = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.entries = np.searchsorted(key[first], np.arange(n_words + 1) * self.blocks)
-
-    def nearest(self, words: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Example numbers and cosines, best first; ties by number. ``skip``: an example to leave out."""
-        best, cosine = np.zeros(0, np.int64), np.zeros(0)
-        entry, n = _spread(self.entries[words], self.entries[words + 1])
-        part = np.repeat(weights, n)
-        bounds = np.bincount(self.block[entry], part * self.largest[entry], minlength=self.blocks)
-        order, done, width = np.argsort(-bounds, kind="stable"), 0, 2
-        while done < self.blocks:
-            least = cosine[-1] - 1e-12 if len(best) == k else 0.0
-            turn = order[done : done + width]
-            turn = turn[(bounds[turn] > 0) & (bounds[turn] >= least)]
-            if not len(turn):
-                break
-            mine = np.zeros(self.blocks, bool)
-            mine[turn] = True
-            mine = mine[self.block[entry]]
-            place, n = _spread(self.start[entry[mine]], self.end[entry[mine]])
-            sums = np.bincount(self.at[place], self.weight[place] * np.repeat(part[mine], n), minlength=len(self.order))
-            found = np.flatnonzero(sums > 0)
-            found = found[self.order[found] != skip]
-            best, cosine = np.concatenate([best, self.order[found]]), np.concatenate([cosine, np.round(sums[found], 12)])
-            if len(best) > k:  # all that reach the k-th, so that ties are kept until they are ordered
-                near = cosine >= np.partition(cosine, len(cosine) - k)[len(cosine) - k]
-                best, cosine = best[near], cosine[near]
-            by = np.lexsort((best, -cosine))[:k]
-            best, cosine = best[by], cosine[by]
-            done, width = done + width, width * 2
-        return best, np.minimum(cosine, 1.0)
+        held = np.bincount(word, minlength=n_words)
+        self.first = np.concatenate([[0], np.cumsum(held)])
+        self.row = np.full(n_words, -1, np.int32)
+        top = np.argsort(-held, kind="stable")[:common]
+        self.row[top] = np.arange(len(top))
+        self._matrix()
+
+    def _matrix(self) -> None:
+        """Weights of the common words, a row each, and the largest of each block."""
+        top = np.flatnonzero(self.row >= 0)
+        self.common = np.zeros((len(top), self.blocks * self.size))
+        place, n = _spread(self.first[top], self.first[top + 1])
+        self.common[np.repeat(self.row[top], n), self.at[place]] = self.weight[place]
+        self.largest = self.common.reshape(len(top), self.blocks, self.size).max(2)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("common", "largest")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state
+        self._matrix()
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (words, weights) example numbers and cosines, best first; ties by number. ``skip``: an example that each leaves out."""
+        out = []
+        for i in range(0, len(queries), QUERIES):
+            out += self._batch(queries[i : i + QUERIES], k, None if skip is None else np.array(skip[i : i + QUERIES]))
+        return out
+
+    def _batch(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, width = len(queries), self.blocks * self.size
+        word, weight = (np.concatenate([q[j] for q in queries]) for j in (0, 1))
+        query = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        own = self.row[word] >= 0
+        dense = np.zeros((m, len(self.common)))
+        dense[query[own], self.row[word[own]]] = weight[own]
+        place, n = _spread(self.first[word[~own]], self.first[word[~own] + 1])
+        sums = np.bincount(np.repeat(query[~own] * width, n) + self.at[place], np.repeat(weight[~own], n) * self.weight[place], minlength=m * width).astype(float, copy=False).reshape(m, width)
+        if skip is not None:
+            place = np.full(int(max(self.order.max(initial=0), skip.max())) + 1, -1)
+            place[self.order] = np.arange(len(self.order))
+            gone = np.flatnonzero(place[skip] >= 0)
+            sums[gone, place[skip[gone]]] = -np.inf
+        floor = np.partition(sums, width - k, axis=1)[:, width - k] if width > k else np.zeros(m)
+        bound = sums.reshape(m, self.blocks, self.size).max(2) + dense @ self.largest
+        taken = (bound > 0) & (bound >= np.maximum(floor, 0)[:, None] - 1e-9)
+        for b in range(self.blocks):
+            rows, part = np.flatnonzero(taken[:, b]), slice(b * self.size, (b + 1) * self.size)
+            if len(rows):
+                sums[rows, part] += dense[rows] @ self.common[:, part]
+        sums.reshape(m, self.blocks, self.size)[~taken] = 0  # below the floor
+        out = []
+        for s, f in zip(sums, np.maximum(floor - 1e-9, 1e-10).tolist(), strict=True):
+            found = np.flatnonzero(s >= f)
+            cosine = np.round(s[found], 10)
+            if len(found) > k:  # all that reach the k-th, ties among them
+                near = cosine >= np.partition(cosine, len(found) - k)[len(found) - k]
+                found, cosine = found[near], cosine[near]
+            by = np.lexsort((self.order[found], -cosine))
+            by = by[cosine[by] > 0][:k]
+            out.append((self.order[found[by]], np.minimum(cosine[by], 1.0)))
+        return out
 
 
 class Model:
@@ -117,8 +154,8 @@ class Model:
         self.base = (sum(bare) + 0.5 * (len(labels) > 0)) / (len(bare) + 1 + (len(labels) > 0) * 10)
         self.slope, self.shift = 4.0, -2.0
         votes, ys = [], []
-        for i, v in enumerate(vectors):
-            if len(v[0]) and len((near := self.index.nearest(*v, k, skip=i))[0]):
+        for i, near in enumerate(self.index.nearest(vectors, k, skip=list(range(len(vectors))))):
+            if len(near[0]):
                 votes.append(self.vote(*near))
                 ys.append(labels[i])
         if votes:
@@ -132,14 +169,15 @@ class Model:
         w = 1 / (1.05 - cosine)
         return float((w * self.labels[near]).sum() / w.sum())
 
-    def score(self, raw: bytes) -> tuple[float, list[str]]:
+    def score(self, texts: list[bytes]) -> list[tuple[float, list[str]]]:
+        """For each text the score and the nearest examples' ids."""
         if not len(self.labels):
-            return 0.0, []
-        near, cosine = self.index.nearest(*self.vector(*words_of(raw, self.words)), self.k)
-        if not len(near):
-            return self.base, []
-        p = 1 / (1 + np.exp(-(self.slope * self.vote(near, cosine) + self.shift)))
-        return float(p), [self.ids[i] for i in near[:5].tolist()]
+            return [(0.0, [])] * len(texts)
+        out = []
+        for near, cosine in self.index.nearest([self.vector(*words_of(x, self.words)) for x in texts], self.k):
+            p = 1 / (1 + np.exp(-(self.slope * self.vote(near, cosine) + self.shift))) if len(near) else self.base
+            out.append((float(p), [self.ids[i] for i in near[:5].tolist()]))
+        return out
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -164,8 +202,10 @@ def _document_frequencies(docs: DataFrame, text: str, words: dict[bytes, int]) -
         words, df = sent.value, np.zeros(len(sent.value) + 1, np.int64)
         for b in batches:
             df[-1] += b.num_rows
-            held = [t for raw in bytes_of(b.column(0)) for w in set(raw.translate(WORD_BYTES).split()) if (t := words.get(w)) is not None]
-            df[:-1] += np.bincount(np.array(held, np.int64), minlength=len(words))
+            for raw in bytes_of(b.column(0)):
+                held = set(raw.translate(WORD_BYTES).split())
+                t = np.fromiter(map(words.get, held, repeat(-1)), np.int64, len(held))
+                df[t[t >= 0]] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["t", "n"])
 
@@ -193,7 +233,7 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(b: pa.RecordBatch) -> dict:
-        got = [sent.value.score(raw) for raw in bytes_of(b.column(text))]
+        got = sent.value.score(list(bytes_of(b.column(text))))
         return {out[0]: [s for s, _ in got], out[1]: [int(s >= threshold) for s, _ in got], out[2]: [e for _, e in got]}
 
     return map_texts(docs, [text], [(out[0], "double"), (out[1], "int"), (out[2], "array<string>")], work)

@@ -1,3 +1,4 @@
+import pickle
 import random
 
 import numpy as np
@@ -14,16 +15,26 @@ def test_block_max_is_exact():
         w = rng.integers(1, 4, len(t)).astype(float)
         vectors.append((t, w / (np.sqrt((w * w).sum()) or 1)))
     vectors[7] = vectors[3]
-    index = BlockMaxIndex(vectors, 30, block=16)
     dense = np.zeros((400, 30))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
-    for q in range(0, 400, 7):
-        got, cos = index.nearest(*vectors[q], 9)
-        sims = np.round(dense @ dense[q], 12)
-        want = [i for _, i in sorted((-s, i) for i, s in enumerate(sims) if s > 0)[:9]]
-        assert got.tolist() == want
-        assert np.allclose(cos, sims[want])
+    ask = list(range(0, 400, 3))
+    for common in (0, 7, 30):
+        index = pickle.loads(pickle.dumps(BlockMaxIndex(vectors, 30, block=16, common=common)))
+        for skip in (None, ask):
+            for q, (got, cos) in zip(ask, index.nearest([vectors[q] for q in ask], 9, skip), strict=True):
+                sims = np.round(dense @ dense[q], 10)
+                want = [i for _, i in sorted((-s, i) for i, s in enumerate(sims) if s > 0 and (skip is None or i != q))[:9]]
+                assert got.tolist() == want
+                assert np.allclose(cos, sims[want])
+
+
+def test_index_of_few_or_no_vectors():
+    none = np.zeros(0, np.int64), np.zeros(0)
+    one = np.array([1]), np.array([1.0])
+    assert BlockMaxIndex([], 0).nearest([none], 3)[0][0].tolist() == []
+    assert BlockMaxIndex([none, one], 2).nearest([one, none], 80)[0][0].tolist() == [1]
+    assert BlockMaxIndex([none, one], 2).nearest([none, one], 3, skip=[0, 1])[1][0].tolist() == []
 
 
 def _rows():
