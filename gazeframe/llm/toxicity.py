@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -44,7 +45,7 @@ def words_of(raw: bytes, words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarra
     t = np.fromiter(map(words.get, count, repeat(-1)), np.int64, len(count))
     n = np.fromiter(count.values(), np.float64, len(count))
     by = np.argsort(t, kind="stable")[int((t < 0).sum()) :]
-    return t[by], n[by]
+    return t[by].astype(np.int32), n[by]
 
 
 def association(vectors: list[np.ndarray], labels: np.ndarray, n_words: int) -> np.ndarray:
@@ -71,32 +72,29 @@ class BlockMaxIndex:
         # Examples with the same strongest word lie together, so that bounds differ between blocks.
         order = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][vectors[i][1].argmax()]), i))
         self.order, self.size, self.blocks = np.array(order, np.int64), block, max(1, -(-len(order) // block))
-        word = np.concatenate([np.zeros(0, np.int64), *(vectors[i][0] for i in order)])
-        weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])
-        at = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])
-        by = np.argsort(word, kind="stable")
-        self.at, self.weight = at[by], weight[by]
+        word = np.concatenate([np.zeros(0, np.int32), *(vectors[i][0] for i in order)]).astype(np.int32)
         held = np.bincount(word, minlength=n_words)
+        by = np.argsort(word, kind="stable")
+        del word
+        self.weight = np.concatenate([np.zeros(0), *(vectors[i][1] for i in order)])[by]
+        self.at = np.repeat(np.arange(len(order), dtype=np.int32), [len(vectors[i][0]) for i in order])[by]
         self.first = np.concatenate([[0], np.cumsum(held)])
         self.row = np.full(n_words, -1, np.int32)
         top = np.argsort(-held, kind="stable")[:common]
         self.row[top] = np.arange(len(top))
-        self._matrix()
 
-    def _matrix(self) -> None:
-        """Weights of the common words, a row each, and the largest of each block."""
+    @cached_property
+    def matrix(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the common words, a row each, and the largest of each block; made anew wherever it is needed."""
         top = np.flatnonzero(self.row >= 0)
-        self.common = np.zeros((len(top), self.blocks * self.size))
-        place, n = _spread(self.first[top], self.first[top + 1])
-        self.common[np.repeat(self.row[top], n), self.at[place]] = self.weight[place]
-        self.largest = self.common.reshape(len(top), self.blocks, self.size).max(2)
+        common = np.zeros((len(top), self.blocks * self.size))
+        for t in top.tolist():
+            own = slice(self.first[t], self.first[t + 1])
+            common[self.row[t], self.at[own]] = self.weight[own]
+        return common, common.reshape(len(top), self.blocks, self.size).max(2)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("common", "largest")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ = state
-        self._matrix()
+        return {k: v for k, v in self.__dict__.items() if k != "matrix"}
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query (words, weights) example numbers and cosines, best first; ties by number. ``skip``: an example that each leaves out."""
@@ -107,10 +105,11 @@ class BlockMaxIndex:
 
     def _batch(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, skip: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
         m, width = len(queries), self.blocks * self.size
+        common, largest = self.matrix
         word, weight = (np.concatenate([q[j] for q in queries]) for j in (0, 1))
         query = np.repeat(np.arange(m), [len(t) for t, _ in queries])
         own = self.row[word] >= 0
-        dense = np.zeros((m, len(self.common)))
+        dense = np.zeros((m, len(common)))
         dense[query[own], self.row[word[own]]] = weight[own]
         place, n = _spread(self.first[word[~own]], self.first[word[~own] + 1])
         sums = np.bincount(np.repeat(query[~own] * width, n) + self.at[place], np.repeat(weight[~own], n) * self.weight[place], minlength=m * width).astype(float, copy=False).reshape(m, width)
@@ -120,12 +119,12 @@ class BlockMaxIndex:
             gone = np.flatnonzero(place[skip] >= 0)
             sums[gone, place[skip[gone]]] = -np.inf
         floor = np.partition(sums, width - k, axis=1)[:, width - k] if width > k else np.zeros(m)
-        bound = sums.reshape(m, self.blocks, self.size).max(2) + dense @ self.largest
+        bound = sums.reshape(m, self.blocks, self.size).max(2) + dense @ largest
         taken = (bound > 0) & (bound >= np.maximum(floor, 0)[:, None] - 1e-9)
         for b in range(self.blocks):
             rows, part = np.flatnonzero(taken[:, b]), slice(b * self.size, (b + 1) * self.size)
             if len(rows):
-                sums[rows, part] += dense[rows] @ self.common[:, part]
+                sums[rows, part] += dense[rows] @ common[:, part]
         sums.reshape(m, self.blocks, self.size)[~taken] = 0  # below the floor
         out = []
         for s, f in zip(sums, np.maximum(floor - 1e-9, 1e-10).tolist(), strict=True):
@@ -149,6 +148,7 @@ class Model:
         idf = 1 + np.log((1 + n_docs) / (1 + df))
         self.weight = idf * (1 + np.maximum(association([t for t, _ in counts], labels, len(words)) - CHANCE, 0))
         vectors = [self.vector(*c) for c in counts]
+        del counts
         self.index = BlockMaxIndex(vectors, len(words))
         bare = [y for v, y in zip(vectors, labels.tolist(), strict=True) if not len(v[0])]
         self.base = (sum(bare) + 0.5 * (len(labels) > 0)) / (len(bare) + 1 + (len(labels) > 0) * 10)
@@ -158,6 +158,7 @@ class Model:
             if len(near[0]):
                 votes.append(self.vote(*near))
                 ys.append(labels[i])
+        self.index.__dict__.pop("matrix", None)  # 50 MB that only queries need
         if votes:
             self.slope, self.shift = _logistic(np.array(votes), np.array(ys, float))
 
@@ -212,6 +213,7 @@ def _document_frequencies(docs: DataFrame, text: str, words: dict[bytes, int]) -
     df = np.zeros(len(words) + 1, np.int64)
     got = docs.select(text).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # the examples' words at most
     df[got.column("t").to_numpy()] = got.column("n").to_numpy()
+    sent.destroy()
     return df[:-1], int(df[-1])
 
 
@@ -221,11 +223,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, text: str = "text",
     n = own.count()
     picked = own.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < min(1.0, examples / max(n, 1)) * 1_000_000)
     rows = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(F.broadcast(picked), "_id")  # about ``examples`` rows
-    got = sorted({(str(r[0]), r[2], r[1]) for r in rows.select("_id", "_t", "_y").collect()})
-    texts, ys = [t.encode() for _, _, t in got], np.array([y for _, y, _ in got], np.int64)
+    got = sorted({(str(r[0]), r[2], r[1].encode()) for r in rows.select("_id", "_t", "_y").toLocalIterator()})
+    texts, ys, ids = [t for _, _, t in got], np.array([y for _, y, _ in got], np.int64), [i for i, _, _ in got]
     words = {w: i for i, w in enumerate(sorted({w for raw in texts for w in raw.translate(WORD_BYTES).split()}))}
     df, n_docs = _document_frequencies(docs, text, words)
-    return Model(words, df, n_docs, texts, ys, [i for i, _, _ in got], k)
+    return Model(words, df, n_docs, texts, ys, ids, k)
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3, out: tuple[str, str, str] = ("tox_score", "tox_predicted", "tox_evidence")) -> DataFrame:
