@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -36,6 +36,7 @@ class GazeFrame:
 
     df: DataFrame
     meta: RecordingMeta = RecordingMeta()
+    _eyes: dict[bool, str] = field(default_factory=dict, init=False, repr=False, compare=False)
 
     @staticmethod
     def from_dataframe(df: DataFrame, meta: RecordingMeta | None = None, **fields) -> GazeFrame:
@@ -75,16 +76,18 @@ class GazeFrame:
         return self.with_df(df)
 
     def eye(self, eye: str = "auto", pupil: bool = False) -> str:
-        """P03: 'L' or 'R'. 'auto' runs one aggregate: the first eye with any valid value, left if neither has."""
+        """P03: 'L' or 'R'. 'auto' takes the first eye with any valid value, left if neither has. It looks for one such value, reads
+        no more partitions than that needs, and looks once for each frame, however many operators ask."""
         if eye in _LEFT:
             return "L"
         if eye in _RIGHT:
             return "R"
         if eye != "auto":
             raise ValueError(f"unknown eye {eye!r}")
-        found = [c for c in (("paL", "paR") if pupil else ("gxL", "gxR")) if self.has(c)]
-        counts = self.df.agg(*(F.count(c).alias(c) for c in found)).first() if found else {}
-        return next((c[-1] for c in found if counts[c]), "L")
+        if pupil not in self._eyes:
+            found = (c for c in (("paL", "paR") if pupil else ("gxL", "gxR")) if self.has(c))
+            self._eyes[pupil] = next((c[-1] for c in found if self.df.select(c).dropna().take(1)), "L")
+        return self._eyes[pupil]
 
     def eye_columns(self, eye: str = "auto", pupil: bool = False) -> tuple[str, str, str]:
         """Gaze x, gaze y and pupil columns of the eye."""

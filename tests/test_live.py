@@ -48,3 +48,22 @@ def test_event_runs(spark, tmp_path):
             if r.in_fix:
                 run = (run[0], r.time, run[2] + 1) if run else (r.time, r.time, 1)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_open_run_ends_when_idle(spark, tmp_path):
+    """The open run of a recording without further samples is emitted, once, when the stream's time has gone on; others stay open."""
+    src, t0 = f"{tmp_path}/idle", dt.datetime(2024, 1, 1)
+    schema = "recording_id string, sample_idx long, time double, ts timestamp, in_fix boolean"
+    row = lambda rid, i, s: (rid, i, 2.0 * i, t0 + dt.timedelta(seconds=s), True)
+    spark.createDataFrame([row("a", 0, 0), row("a", 1, 1)], schema).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    q = event_runs(stream, "in_fix", ts="ts", late="0 seconds", idle="1 minute").writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", f"{tmp_path}/idle_cp").start()
+    try:
+        q.processAllAvailable()
+        assert spark.table("idle").count() == 0
+        for i in range(2):
+            spark.createDataFrame([row("b", i, 300 + i)], schema).coalesce(1).write.mode("append").parquet(src)
+            q.processAllAvailable()
+        assert [tuple(r) for r in spark.table("idle").collect()] == [("a", 0.0, 2.0, 2)]
+    finally:
+        q.stop()

@@ -110,6 +110,22 @@ def test_selection_and_eye(spark):
     assert only_right.eye() == "R" and only_right.eye("left") == "L"
 
 
+def test_eye_is_looked_for_once(spark):
+    df = spark.createDataFrame([(i, None, float(i), None, None) for i in range(40)], "sample_idx long, gxL double, gxR double, paL double, paR double").repartition(8)
+    gf = GazeFrame.from_dataframe(df)
+    sc = spark.sparkContext
+    sc.setJobGroup("eyes", "eyes")
+    try:
+        assert [gf.eye() for _ in range(5)] == ["R"] * 5
+        first = len(sc.statusTracker().getJobIdsForGroup("eyes"))
+        assert [gf.eye("auto"), gf.eye("right"), gf.eye_columns()[0]] == ["R", "R", "gxR"]
+        assert first and len(sc.statusTracker().getJobIdsForGroup("eyes")) == first
+        assert gf.eye(pupil=True) == "L" and gf.select(F.col("gxR") < 0).eye() == "L"
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+
 # ------------------------------------------------------------------------------------------------------------- runs
 
 
