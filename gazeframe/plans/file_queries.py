@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,13 @@ from gazeframe.sources.tobii import EVENT, EYES, STIMULUS, SUBJECT, TIME, VALUE
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder that all machines share; its files go when the application ends."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A fresh folder that all machines share; its files go when the application ends. Where spark.checkpoint.dir is unset, only a
+    local session gets /tmp/checkpoints."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        top = "file:///tmp/checkpoints"
     path = f"{top.rstrip('/')}/gazeframe-files-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

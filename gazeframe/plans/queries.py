@@ -920,4 +920,4 @@ def plot_sequence(spark, d):
 
 
 # The queries of readers and writers are registered in a module of their own.
-from gazeframe.plans import file_queries  # noqa: E402, F401
+from gazeframe.plans import file_queries, live_queries  # noqa: E402, F401
