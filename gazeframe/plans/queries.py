@@ -879,7 +879,7 @@ def k02m(spark, d):
     from gazeframe.sources.eyelink_text import ascii_lines, classify, events_of, recordings_of, samples_of
 
     raw = classify(_asc_lines(spark, d))
-    return ascii_lines(A.RawRecording(samples_of(raw), events_of(raw), recordings_of(raw)), include_events=False, include_samples=False).select("recording_id", "ts", "priority", "line")
+    return ascii_lines(A.RawRecording(samples_of(raw), events_of(raw), recordings_of(raw)), include_events=False, include_samples=False, longest=_HOUR).select("recording_id", "ts", "priority", "line")
 
 
 @query("k03_smi_lines", f"""WITH {SAMPLES_SQL} SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY sample_idx) AS n, sample_idx::BIGINT * 1000 || chr(9) || 'SMP' || chr(9) || trial || repeat(chr(9) || '0.00', 6) || chr(9) || printf('%.2f', coalesce(gx, 0.0)) || chr(9) || printf('%.2f', coalesce(gy, 0.0)) || chr(9) || '0' || chr(9) || '0' || chr(9) || message || chr(9) || '0' || chr(9) AS line FROM s""")

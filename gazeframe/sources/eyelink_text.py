@@ -123,15 +123,17 @@ def _line(d: DataFrame, ts: Column, priority: float, seq: Column, text: Column,
     return d.select("recording_id", ts.cast("long").alias("ts"), F.lit(float(priority)).alias("priority"), seq.cast("long").alias("seq"), F.lit(sub).alias("sub"), text.alias("line"))
 
 
-def ascii_lines(raw: RawRecording, include_samples: bool = True, include_events: bool = True, include_messages: bool = True) -> DataFrame:
+def ascii_lines(raw: RawRecording, include_samples: bool = True, include_events: bool = True, include_messages: bool = True, longest: int | None = None) -> DataFrame:
     """(recording_id, ts, priority, seq, sub, line): what the writer puts in time order. Messages and starts come before
-    the sample of their time (0), ends after it (1); a union of formatted lines that one sort merges."""
+    the sample of their time (0), ends after it (1); a union of formatted lines that one sort merges. A recording without an END
+    is written to its last line, or (``longest``) to so many ms after its start."""
     e, r = raw.events, raw.recordings
     start = F.min(F.when((F.col("state") == S.RECORDING_START) & F.col("sample_rate").between(100, 2000), F.col("time")))
     low = r.groupBy("recording_id").agg(F.coalesce(start, F.min("time")).alias("low"))
     high = r.join(low, "recording_id").where((F.col("state") == S.RECORDING_END) & (F.col("time") > F.col("low"))).groupBy("recording_id").agg((F.max("time") + 5000).alias("high"))
     bounds = e.select("recording_id").unionByName(raw.samples.select("recording_id")).distinct().join(low, "recording_id", "left").join(high, "recording_id", "left")
-    bounds = bounds.select("recording_id", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", F.coalesce("low", F.lit(0)) + 3_600_000).alias("high"))
+    open_end = F.lit(2**63 - 1) if longest is None else F.coalesce("low", F.lit(0)) + longest
+    bounds = bounds.select("recording_id", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", open_end).alias("high"))
     e = e.join(bounds, "recording_id")
     st, en, eye, seq = F.col("sttime"), F.col("entime"), eye_letter(F.col("eye")), F.col("event_seq")
     parts: list[DataFrame] = []
@@ -181,7 +183,7 @@ def ascii_lines(raw: RawRecording, include_samples: bool = True, include_events:
     return out
 
 
-def write_eyelink_text(raw: RawRecording, path: str, preamble: str = "", **include: bool) -> None:
+def write_eyelink_text(raw: RawRecording, path: str, preamble: str = "", **include: bool | int | None) -> None:
     """A text file for each recording below ``path/recording_id=...``: a header, then all lines in time order.
 
     Recordings are sorted apart: rows are dealt out by recording and sorted within it.
