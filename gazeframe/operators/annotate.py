@@ -129,8 +129,9 @@ def attach_messages(samples: DataFrame, messages: DataFrame, nearest_after: bool
     if nearest_after:
         ask = messages.select("recording_id", F.col("sttime").cast("double").alias("at"), F.lit(None).cast("long").alias("sample_idx"), "event_seq", "message", F.lit(0).alias("side"))
         have = first.select("recording_id", "at", "sample_idx", F.lit(None).cast("long").alias("event_seq"), F.lit(None).cast("string").alias("message"), F.lit(1).alias("side"))
-        o = Window.partitionBy("recording_id").orderBy("at", "side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        placed = ask.unionByName(have).withColumn("sample_idx", F.first("sample_idx", ignorenulls=True).over(o)).where("side = 0").dropna(subset=["sample_idx"])
+        # Backwards in time: a frame to the end of the partition would be gone through anew for each row.
+        o = Window.partitionBy("recording_id").orderBy(F.desc_nulls_last("at"), F.desc("side")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = ask.unionByName(have).withColumn("sample_idx", F.last("sample_idx", ignorenulls=True).over(o)).where("side = 0").dropna(subset=["sample_idx"])
     else:
         placed = messages.withColumn("at", F.col("sttime").cast("double")).join(first, ["recording_id", "at"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_seq", "message"))), lambda x: x["message"]), "; ")
@@ -309,7 +310,7 @@ def annotate(raw: RawRecording, include_variables: bool = True, trial_time_zero:
             d = join_variables(d, trial_table(v, names=names))
     size = screen_size(e).limit(1).collect()
     rates = [r[0] for r in raw.recordings.where("sample_rate > 0").orderBy("recording_id", "time").limit(1).select("sample_rate").collect()] if raw.recordings is not None else []
-    rate = float(rates[0]) if rates else float((estimate_sample_rate(d).orderBy("recording_id").limit(1).collect() or [(None, 1000.0)])[0][1])
+    rate = float(rates[0]) if rates else float((estimate_sample_rate(nan_to_null(raw.samples)).orderBy("recording_id").limit(1).collect() or [(None, 1000.0)])[0][1])
     meta = RecordingMeta(source=raw.meta.source, sample_rate=rate, screen_w=size[0]["screen_w"] if size else 1920, screen_h=size[0]["screen_h"] if size else 1080, screen_width_cm=raw.meta.screen_width_cm, viewing_distance_cm=raw.meta.viewing_distance_cm)
     gf = GazeFrame(d, meta)
     return with_time_rel(gf, trial_time_zero) if trial_time_zero is not None else gf
