@@ -10,8 +10,9 @@ are the connected components of the pairs at ``threshold`` or more.
 Candidates. Equal word sequences are one node from the start. A band's bucket of at most ``small`` nodes gives all its
 pairs; a larger one gives each node with the bucket's most shared node (that whose bands are in the largest buckets: a
 group's centre), which joins a group of copies in as many rows as it has nodes. Larger buckets that are in several classes
-even so are treated by their size. Up to ``BLOCK`` nodes, one task compares the nodes' ``wide`` samples in memory and gives
-the pairs of different classes that agree well enough. Beyond, the nodes are banded anew with more samples to a band
+even so are treated by their size. Up to ``BLOCK`` nodes, one task compares the nodes' ``wide`` samples in memory, takes the
+exact similarity of the pairs of different classes that agree well enough from the texts beside them, and gives the links that
+join classes: never more than it has nodes, however many pairs it went through. Beyond, the nodes are banded anew with more samples to a band
 (``DEEPER``: fewer unlike nodes meet, and so many bands that nodes alike at the threshold meet with a probability of 0.997 or
 more), and these buckets are treated in the same way, until none is left: a bucket of more than ``BLOCK`` nodes that still
 holds several classes after the last banding is compared in pairs of blocks. A pair is passed over if it agrees in fewer samples
@@ -49,6 +50,8 @@ ALPHA = 0.5
 BITMAP = 1 << 23
 #: Nodes of a block and, of the pairs of two blocks, those that are compared at once.
 BLOCK, AT_ONCE = 2048, 1 << 20
+#: Bytes of a block's texts, roughly: a bucket of more is compared by pairs of blocks, too.
+TEXTS = 1 << 25
 #: Samples to a band and bands, from one banding of large mixed buckets to the next: at 0.8, two texts share a band with a probability
 #: of 0.9987 and 0.998 (in the first banding, of 0.9982 by either of its two cuts).
 DEEPER = ((8, 36), (12, 90))
@@ -316,14 +319,18 @@ def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, bands: i
 
     def take(pairs: DataFrame, texts: DataFrame | None) -> None:
         """Verifies the pairs that are new and joins the classes that they link."""
-        nonlocal labels, links, tried
+        nonlocal tried
         low, high = F.least("a", "b"), F.greatest("a", "b")
         named = pairs.withColumns({"low": low, "high": high})
         new = keep(named if tried is None else named.join(tried.hint("shuffle_merge"), ["low", "high"], "left_anti"))
         tried = new.select("low", "high") if tried is None else tried.unionByName(new.select("low", "high"))
         if not new.limit(1).count():
             return
-        found = keep(verify(docs, new.select("a", "b", "na", "nb"), sent, text, threshold, texts, held))
+        join(keep(verify(docs, new.select("a", "b", "na", "nb"), sent, text, threshold, texts, held)))
+
+    def join(found: DataFrame) -> None:
+        """Joins the classes that ``found`` links."""
+        nonlocal labels, links
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             labels = components(links, held)
@@ -337,7 +344,7 @@ def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float, bands: i
             near = _texts(docs, mixed.select(F.col("n1").alias("na"), F.col("n1").alias("nb")), text, held)
             wider = keep(near.mapInArrow(_widen(sent, wide), "node binary, wide binary"))
         last = not deeper
-        take(_compared(mixed, wider, block, agree, bands * rows, wide, threshold, last), near)
+        join(keep(_compared(mixed, wider, near, sent, block, agree, bands * rows, wide, threshold, last)))
         left = keep(_mixed(mixed, labels, block))
         if last or not left.limit(1).count():
             break
@@ -423,41 +430,81 @@ def agreeing_pairs(x: np.ndarray, y: np.ndarray, lx: np.ndarray, ly: np.ndarray,
     return tuple(np.concatenate([g[k] for g in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def _compared(mixed: DataFrame, wider: DataFrame, most: int, agree: int, first: int, wide: int, threshold: float, last: bool) -> DataFrame:
-    """The (a, b, na, nb) of different labels that share a bucket of at most ``most`` rows and agree well enough; with ``last``
-    also those of larger buckets, by pairs of blocks. Each pair is given in one of its buckets."""
+def joining_links(texts: list[bytes], label: np.ndarray, p: np.ndarray, q: np.ndarray, idf, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (p[k], q[k]) of texts that are at least ``threshold`` alike and join two classes: a pair whose classes are
+    one already, by ``label`` or by the links before it, is passed over. Every other pair's similarity is taken from the texts."""
+    used, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+    p_at, q_at = at[: len(p)], at[len(p) :]
+    terms, weights = zip(*(weighted(word_hashes(texts[k]), idf) for k in used.tolist()), strict=True) if len(used) else ((), ())
+    lengths, total = np.array([len(t) for t in terms], np.int64), np.array([w.sum() for w in weights])
+    own = np.unique(np.concatenate(terms), return_inverse=True)[1] if len(used) else np.zeros(0, np.int64)
+    ids = np.split(own, np.cumsum(lengths)[:-1]) if len(used) else []
+    dense = np.zeros(own.max(initial=-1) + 1)
+    parent = list(range(int(label.max(initial=-1)) + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    of = label[used].tolist()
+    order = np.argsort(p_at, kind="stable")
+    got: list[tuple[int, int]] = []
+    for rows in np.split(order, np.flatnonzero(np.diff(p_at[order])) + 1) if len(order) else []:
+        a, others = int(p_at[rows[0]]), q_at[rows].tolist()
+        dense[ids[a]] = weights[a]
+        step = max(1, AT_ONCE // int(lengths[others].max()))
+        for k in range(0, len(others), step):
+            mine = root(of[a])
+            part = [b for b in others[k : k + step] if root(of[b]) != mine]
+            if not part:
+                continue
+            least = np.minimum(dense[np.concatenate([ids[b] for b in part])], np.concatenate([weights[b] for b in part]))
+            least = np.add.reduceat(least, np.concatenate([[0], np.cumsum(lengths[part])[:-1]]))
+            # Sums in another order may differ in their last digits: near the threshold the pair's own sum decides.
+            for i in np.flatnonzero(least / (total[a] + total[part] - least) >= threshold - 1e-9).tolist():
+                b = part[i]
+                one, two = root(of[a]), root(of[b])
+                if one != two and jaccard(terms[a], weights[a], terms[b], weights[b]) >= threshold:
+                    parent[two] = one
+                    got.append((a, b))
+        dense[ids[a]] = 0
+    links = used[np.array(got, np.int64).reshape(-1, 2)]
+    return links[:, 0], links[:, 1]
+
+
+def _compared(mixed: DataFrame, wider: DataFrame, near: DataFrame, sent, most: int, agree: int, first: int, wide: int, threshold: float, last: bool) -> DataFrame:
+    """The (a, b) that join the classes of nodes that share a bucket of at most ``most`` rows, agree well enough and are alike by
+    their texts; with ``last`` also those of larger buckets. Larger buckets, and those of many long texts, are compared by pairs of
+    blocks. Each pair is looked at in one of its buckets."""
     least = _least(wide, threshold)
     own = mixed if last else mixed.where(F.col("n") <= most)
     of = own.groupBy("node").agg(F.sort_array(F.collect_set("bucket")).alias("mine"))  # a bucket for each band at most
-    own = own.select("bucket", "n", "node", "n1", "label").join(of.hint("shuffle_merge"), "node").join(wider.hint("shuffle_merge"), "node")
-    own = own.withColumn("g", F.ceil(F.col("n") / most).cast("int")).withColumn("at", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
-    columns = ["bucket", "at", "node", "n1", "label", "mine", "wide"]
-    one = own.where("g = 1").select(F.lit(0).alias("i"), F.lit(0).alias("j"), *columns)
-    if last:
-        more = own.where("g > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        one = one.unionByName(more.select(F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), *columns))
+    data = wider.join(near.select("node", "raw").hint("shuffle_merge"), "node")
+    sizes = own.select("bucket", "n", "node").join(near.select("node", F.length("raw").alias("size")).hint("shuffle_merge"), "node").groupBy("bucket").agg(F.ceil(F.greatest(F.max("n") / most, F.sum("size") / TEXTS)).cast("int").alias("g"))
+    own = own.select("bucket", "node", "label").join(sizes.hint("shuffle_merge"), "bucket").join(of.hint("shuffle_merge"), "node").join(data.hint("shuffle_merge"), "node")
+    own = own.withColumn("at", F.pmod(F.xxhash64("node", F.lit(7)), F.col("g")).cast("int"))
+    columns = ["bucket", "at", "node", "label", "mine", "wide", "raw"]
+    # A bucket of one block is its only pair; of more, each block meets each.
+    one = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), *columns)
 
     def compare(key: tuple, t: pa.Table) -> pa.Table:
         bucket, i, j = (k.as_py() for k in key)
-        node, n1 = t.column("node").combine_chunks(), t.column("n1").to_numpy()
         label = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)[1]
-        s = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(len(node), wide)
+        s = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint8).reshape(t.num_rows, wide)
         at = t.column("at").to_numpy()
         x, y = np.flatnonzero(at == i), np.flatnonzero(at == j)
         p, q = agreeing_pairs(s[x], s[y], label[x], label[y], first, agree, least)
         p, q = x[p], y[q]
         if i == j:
             p, q = p[p < q], q[p < q]
-        ok = _first_common(t.column("mine").to_pylist(), p, q) == bucket
-        p, q = p[ok], q[ok]
-        names = node.to_pylist()
-        a, b = [names[k] for k in p.tolist()], [names[k] for k in q.tolist()]
-        # The less node comes first, so that a pair is the same in all bandings.
-        turned = [(u, v, m, n) if u < v else (v, u, n, m) for u, v, m, n in zip(a, b, n1[p].tolist(), n1[q].tolist(), strict=True)]
-        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64())
-        return pa.table([pa.array([r[k] for r in turned], kind) for k, kind in enumerate(kinds)], names=["a", "b", "na", "nb"])
-
-    return one.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary, na long, nb long")
+        if len(p):
+            ok = _first_common(t.column("mine").to_pylist(), p, q) == bucket
+            p, q = joining_links(t.column("raw").to_pylist(), label, p[ok], q[ok], sent.value, threshold)
+        names = t.column("node")
+        return pa.table([pa.chunked_array([names.take(pa.array(k)).combine_chunks()], pa.binary()) for k in (p, q)], names=["a", "b"])
+
+    return one.groupBy("bucket", "i", "j").applyInArrow(compare, "a binary, b binary")
 
 
 def _first_common(lists: list[list[int]], p: np.ndarray, q: np.ndarray) -> np.ndarray:

@@ -157,3 +157,35 @@ def test_components(spark):
     links = [(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(40)] + [(b"900", b"901")]
     got = {bytes(r[0]): bytes(r[1]) for r in components(spark.createDataFrame(links, "a binary, b binary")).collect()}
     assert set(got.values()) == {b"000", b"900"} and len(got) == 43
+
+
+def test_links_grow_with_the_nodes_not_with_their_pairs():
+    """op8, pipeline: of all pairs of a family, at most as many links as nodes leave the task, and they join the same classes."""
+    from gazeframe.llm.common import word_hashes
+    from gazeframe.llm.cws import jaccard
+    from gazeframe.llm.near_dedup import joining_links, weighted
+
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.integers(0, 120, 1 + k % 6):
+            words[at] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words).encode())
+    idf = lambda terms: np.ones(len(terms))
+    p, q = np.triu_indices(len(texts), 1)
+    label = np.arange(len(texts)) // 2  # every two are one class already
+
+    def classes(pairs):
+        own = label.copy()
+        for a, b in pairs:
+            own[own == own[b]] = own[a]
+        return {frozenset(np.flatnonzero(own == c).tolist()) for c in own}
+
+    sets = [weighted(word_hashes(t), idf) for t in texts]
+    alike = [(a, b) for a, b in zip(p.tolist(), q.tolist(), strict=True) if jaccard(*sets[a], *sets[b]) >= 0.8]
+    a, b = joining_links(texts, label, p, q, idf, 0.8)
+    assert 1 < len(classes(alike)) < 45 and len(alike) > 90
+    assert classes(zip(a.tolist(), b.tolist(), strict=True)) == classes(alike) and len(a) == 45 - len(classes(alike))
+    assert all(map(len, joining_links(texts, label, p[:0], q[:0], idf, 0.8))) is False
