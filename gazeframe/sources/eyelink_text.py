@@ -123,18 +123,24 @@ def _line(d: DataFrame, ts: Column, priority: float, seq: Column, text: Column,
     return d.select("recording_id", ts.cast("long").alias("ts"), F.lit(float(priority)).alias("priority"), seq.cast("long").alias("seq"), F.lit(sub).alias("sub"), text.alias("line"))
 
 
+def _beside(d: DataFrame, of: DataFrame) -> DataFrame:
+    """``d`` with what ``of`` has for its recording, if anything; a recording without a name is one too."""
+    return d.join(of.withColumnRenamed("recording_id", "_of"), F.col("recording_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+
+
 def ascii_lines(raw: RawRecording, include_samples: bool = True, include_events: bool = True, include_messages: bool = True, longest: int | None = None) -> DataFrame:
     """(recording_id, ts, priority, seq, sub, line): what the writer puts in time order. Messages and starts come before
-    the sample of their time (0), ends after it (1); a union of formatted lines that one sort merges. A recording without an END
-    is written to its last line, or (``longest``) to so many ms after its start."""
+    the sample of their time (0), ends after it (1); a union of formatted lines that one sort merges. A recording without a START
+    is written from its first line, one without an END to its last, or (``longest``) to so many ms after its start. A sample without a
+    time has a NULL line, as it has no place in the order."""
     e, r = raw.events, raw.recordings
     start = F.min(F.when((F.col("state") == S.RECORDING_START) & F.col("sample_rate").between(100, 2000), F.col("time")))
     low = r.groupBy("recording_id").agg(F.coalesce(start, F.min("time")).alias("low"))
-    high = r.join(low, "recording_id").where((F.col("state") == S.RECORDING_END) & (F.col("time") > F.col("low"))).groupBy("recording_id").agg((F.max("time") + 5000).alias("high"))
-    bounds = e.select("recording_id").unionByName(raw.samples.select("recording_id")).distinct().join(low, "recording_id", "left").join(high, "recording_id", "left")
+    high = _beside(r, low).where((F.col("state") == S.RECORDING_END) & (F.col("time") > F.col("low"))).groupBy("recording_id").agg((F.max("time") + 5000).alias("high"))
+    bounds = _beside(low, high)
     open_end = F.lit(2**63 - 1) if longest is None else F.coalesce("low", F.lit(0)) + longest
-    bounds = bounds.select("recording_id", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce("high", open_end).alias("high"))
-    e = e.join(bounds, "recording_id")
+    bounded = lambda d: _beside(d, bounds).withColumns({"low": F.coalesce("low", F.lit(-(2**63))), "high": F.coalesce("high", open_end)})
+    e = bounded(e)
     st, en, eye, seq = F.col("sttime"), F.col("entime"), eye_letter(F.col("eye")), F.col("event_seq")
     parts: list[DataFrame] = []
     if include_events:
@@ -147,7 +153,7 @@ def ascii_lines(raw: RawRecording, include_samples: bool = True, include_events:
         parts.append(_line(e.where((F.col("type") == S.INPUT) & (F.col("input") > 0) & (st > 0) & (st <= F.col("high"))), st, 0, seq, F.concat_ws("\t", F.lit("INPUT"), st.cast("string"), F.col("input").cast("string"))))
         for code, word in ((S.START_SACC, "SSACC"), (S.START_FIX, "SFIX"), (S.START_BLINK, "SBLINK")):
             parts.append(_line(e.where((F.col("type") == code) & st.between(F.col("low"), F.col("high"))), st, 0, seq, F.concat(F.rpad(F.concat(F.lit(word + " "), eye), 9, " "), st.cast("string"))))
-        ended = lambda d: d.join(bounds, "recording_id").where((st >= F.col("low")) & (en <= F.col("high")))
+        ended = lambda d: bounded(d).where((st >= F.col("low")) & (en <= F.col("high")))
         span = lambda word: F.concat_ws("\t", F.concat(F.rpad(F.concat(F.lit(word + " "), eye), 9, " "), st.cast("string")), en.cast("string"), (en - st + 1).cast("string"))
         f61 = lambda c: F.format_string("%6.1f", F.coalesce(c, F.lit(0.0)))
         rd = lambda c, d=1: F.rint(F.coalesce(F.col(c), F.lit(0.0)) * 10.0**d) / 10.0**d
@@ -162,7 +168,7 @@ def ascii_lines(raw: RawRecording, include_samples: bool = True, include_events:
         end = F.concat(F.lit("END\t"), F.col("t").cast("long").cast("string"), F.lit("\tSAMPLES\tEVENTS\tRES\t0.0\t0.0"))
         parts.append(_line(last, F.col("t"), 0, F.lit(-2), end))
     if include_messages:
-        m = parse_messages(raw.events).join(bounds, "recording_id").where((st > 0) & (st <= F.col("high")) & ~F.col("message").rlike(r"[\p{Cc}&&[^\n\t]]"))
+        m = bounded(parse_messages(raw.events)).where((st > 0) & (st <= F.col("high")) & ~F.col("message").rlike(r"[\p{Cc}&&[^\n\t]]"))
         m = m.select("recording_id", "sttime", "event_seq", F.posexplode(F.split("message", "\n")).alias("sub", "part")).where((F.col("sub") == 0) | (F.trim("part") != ""))
         text = F.when(F.col("sub") == 0, F.concat(F.lit("MSG\t"), st.cast("string"), F.lit(" "), F.col("part"))).otherwise(F.col("part"))
         parts.append(m.select("recording_id", st.alias("ts"), F.lit(0.0).alias("priority"), seq.alias("seq"), F.col("sub"), text.alias("line")))
@@ -170,11 +176,13 @@ def ascii_lines(raw: RawRecording, include_samples: bool = True, include_events:
         s = raw.samples
         for c in ("gxL", "gyL", "paL", "gxR", "gyR", "paR"):
             s = s if c in s.columns else s.withColumn(c, F.lit(None).cast("double"))
-        eyes = s.groupBy("recording_id").agg((F.count("gxL") > 0).alias("l"), (F.count("gxR") > 0).alias("r"))
-        s = s.join(eyes, "recording_id").join(bounds, "recording_id").where(F.col("time").between(F.col("low"), F.col("high")))
+        # An eye is written if it has an x; where neither has one, by its y and pupil, and as dots where there is nothing at all.
+        has = lambda *c: F.count(F.coalesce(*c)) > 0
+        eye = lambda e: F.when(has("gxL", "gxR"), has(f"gx{e}")).otherwise(has(f"gy{e}", f"pa{e}"))
+        s = bounded(_beside(s, s.groupBy("recording_id").agg(eye("L").alias("l"), eye("R").alias("r")))).where(F.col("time").isNull() | F.col("time").between(F.col("low"), F.col("high")))
         group = lambda e: F.concat_ws("\t", *(fixed1(F.col(f"{c}{e}")) for c in ("gx", "gy", "pa")))
-        body = F.when(F.col("l") & F.col("r"), F.concat_ws("\t", group("L"), group("R"))).when(F.col("l"), group("L")).when(F.col("r"), group("R"))
-        parts.append(_line(s, F.col("time"), 0.5, F.col("sample_idx"), F.concat_ws("\t", F.col("time").cast("long").cast("string"), body, F.lit("..."))))
+        body = F.when(F.col("l") & F.col("r"), F.concat_ws("\t", group("L"), group("R"))).when(F.col("r"), group("R")).otherwise(group("L"))
+        parts.append(_line(s, F.col("time"), 0.5, F.col("sample_idx"), F.concat(F.col("time").cast("long").cast("string"), F.lit("\t"), body, F.lit("\t..."))))
     if not parts:
         raise ValueError("nothing to write: samples, events and messages are all left out")
     out = parts[0]
@@ -188,7 +196,7 @@ def write_eyelink_text(raw: RawRecording, path: str, preamble: str = "", **inclu
 
     Recordings are sorted apart: rows are dealt out by recording and sorted within it.
     """
-    body = ascii_lines(raw, **include)
+    body = ascii_lines(raw, **include).where("line is not null")
     head = [x if x.startswith("**") else f"** {x}" for x in preamble.splitlines() if x.strip() and not x.startswith(("ENDP", "SR_RESEARCH"))]
     head = ["** CONVERTED BY gazeframe", *head, "**", ""]
     ids = body.select("recording_id").distinct()
