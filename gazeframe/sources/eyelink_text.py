@@ -105,8 +105,8 @@ def read_eyelink_text(spark: SparkSession, paths: str | Sequence[str], load_samp
 
 
 def fixed1(c: Column, width: int = 7) -> Column:
-    """One decimal, half to even, right-aligned; a dot for a missing value."""
-    t = F.format_string("%.1f", F.rint(c.cast("double") * 10.0) / 10.0)
+    """One decimal, half to even, right-aligned; a dot for a missing value; inf and nan as C spells them."""
+    t = F.replace(F.lower(F.format_string("%.1f", F.rint(c.cast("double") * 10.0) / 10.0)), F.lit("infinity"), F.lit("inf"))
     return F.when(c.isNull(), F.lpad(F.lit("."), width, " ")).otherwise(F.lpad(t, F.greatest(F.lit(width), F.length(t)), " "))
 
 
